@@ -4,20 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import minhash
+from cairn.llm import license, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
+def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op7_minhash": op7_minhash}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op7_minhash": op7_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality": quality.SQL, "op2_license": license.sql()}
