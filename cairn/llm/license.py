@@ -11,6 +11,8 @@ MIN_CONTAINED percent of the template's distinct shingles. All of it is a projec
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +36,8 @@ WINDOW, STRIDE, BANDS = 2, 2, 12
 MIN_CONTAINED = 80
 _EDGE = ".,;:!?\"'()[]"
 _GAP = r"""[.,;:!?"'()\[\]]*[\x20\x09-\x0D]+[.,;:!?"'()\[\]\x20\x09-\x0D]*"""
-#: Any fixed odd numbers do; each gives one order of the shingles' hashes.
-_SEEDS = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 63) for k in range(BANDS)]
+#: Each orders the shingles' hashes anew by exclusive or; all 64 bits vary, the sign's too.
+_SEEDS = [int.from_bytes(hashlib.sha256(bytes([k])).digest()[:8], "big", signed=True) for k in range(BANDS)]
 
 
 def _words(text: Column) -> Column:
@@ -63,6 +65,10 @@ def _text_bands(text: Column, stride: int) -> Column:
     return let(_words(text), lambda w: let(_shingles(w, F.xxhash64).cast("array<bigint>"), lambda h: _bands(h, stride)))
 
 
+def _word_shingles(text: Column) -> Column:
+    return let(_words(text), lambda w: _shingles(w, lambda *parts: F.concat_ws(" ", *parts)))
+
+
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, min_contained: int = MIN_CONTAINED) -> DataFrame:
     """Templates that documents hold: a row per document and matching template.
 
@@ -74,21 +80,18 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, mi
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     known = spark.createDataFrame(sorted(templates.items()), "name string, text string")
-    known = known.select("name", _text_bands(F.col("text"), 1).alias("bands"), F.array_distinct(_shingles(_words(F.col("text")), _join)).alias("shingles")).collect()
+    known = known.select("name", _text_bands(F.col("text"), 1).alias("bands"), F.array_distinct(_word_shingles(F.col("text"))).alias("shingles")).collect()
     every = F.array(*(F.lit(b) for b in sorted({b for t in known for b in t["bands"]})))
     table = F.array(*(F.struct(F.lit(t["name"]).alias("name"), F.array(*map(F.lit, sorted(set(t["bands"])))).alias("bands"), F.array(*map(F.lit, t["shingles"])).alias("shingles")) for t in known))
     hits = F.array_intersect(_text_bands(F.col("text"), STRIDE), every)
-    found = tidy(docs, "doc_id", "text").withColumn("hits", hits).where(F.size("hits") > 0)
+    # a generated column is computed once; a projected one would be repeated in the filter and in each template's test
+    found = tidy(docs, "doc_id", "text").select("doc_id", "text", F.explode_outer(F.array(hits)).alias("hits")).where(F.size("hits") > 0)
     found = found.select("doc_id", "text", F.explode(F.filter(table, lambda t: F.arrays_overlap(t["bands"], F.col("hits")))).alias("t"))
-    held = F.size(F.array_intersect(F.col("t.shingles"), _shingles(_words(F.col("text")), _join)))
+    held = F.size(F.array_intersect(F.col("t.shingles"), _word_shingles(F.col("text"))))
     found = found.select("doc_id", F.col("t.name").alias("license"), F.size("t.shingles").cast("long").alias("template_shingles"), held.cast("long").alias("found_shingles"))
     return found.where(F.lit(100) * F.col("found_shingles") >= F.lit(min_contained) * F.col("template_shingles"))
 
 
-def _join(*parts: Column) -> Column:
-    return F.concat_ws(" ", *parts)
-
-
 def sql(templates: dict[str, str] | None = None) -> str:
     """Containment of every template in every text, in SQL for DuckDB."""
     names = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted((TEMPLATES if templates is None else templates).items()))
