@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import license, minhash, quality
+from cairn.llm import chat, langid, license, minhash, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +19,23 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.license_matches(_table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-7, 0, "user", chat.PROBE), (-7, 1, "assistant", chat.PROBE)], turns.schema)
+    return chat.digests(chat.examples(turns.unionByName(probe)))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_license": op2_license, "op7_minhash": op7_minhash}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_chat": op3_chat, "op4_langid": op4_langid, "op7_minhash": op7_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.SQL, "op2_license": license.sql()}
+    return {"op1_quality": quality.SQL, "op2_license": license.sql(), "op3_chat": chat.SQL}
