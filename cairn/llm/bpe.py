@@ -26,20 +26,22 @@ PIECES, LONG = 50_000, 48
 #: Accumulated rows of one recursive query, about.
 _ROWS = 4_000_000
 #: Encoded pieces that a Python worker remembers, and their bytes.
-_REMEMBERED, _REMEMBERED_BYTES = 400_000, 32_000_000
+_REMEMBERED, _REMEMBERED_BYTES = 800_000, 32_000_000
 #: Tokens decoded by one query.
 _DECODED = 500_000
 
 _SHORT_STEP = """
-SELECT w, pos, CASE WHEN pos = best & 4294967295 THEN best >> 32 ELSE tok END AS tok, it + 1 AS it, best IS NOT NULL AS live
-FROM (
-  SELECT *, min(m << 32 | pos) OVER (PARTITION BY w) AS best
-  FROM (SELECT s.*, m FROM (SELECT *, lead(tok) OVER o AS nxt, lag(pos) OVER o AS prv FROM step WHERE live AND it < ? WINDOW o AS (PARTITION BY w ORDER BY pos)) s
-        LEFT JOIN merges ON l = tok AND r = nxt))
-WHERE best IS NULL OR prv IS NULL OR prv <> best & 4294967295
+(WITH s AS MATERIALIZED (
+  SELECT n.*, m::BIGINT << 32 | pos AS key
+  FROM (SELECT *, CASE WHEN lead(w) OVER o = w THEN lead(tok) OVER o END AS nxt, CASE WHEN lag(w) OVER o = w THEN lag(pos) OVER o END AS prv
+        FROM step WHERE live AND it < ? WINDOW o AS (ORDER BY pos)) n
+  LEFT JOIN merges ON l = tok AND r = nxt)
+SELECT s.w, pos, CASE WHEN pos = (best & 4294967295)::INTEGER THEN (best >> 32)::INTEGER ELSE tok END AS tok, (it + 1)::INTEGER AS it, best IS NOT NULL AS live
+FROM s JOIN (SELECT w, min(key) AS best FROM s GROUP BY w) b ON b.w = s.w
+WHERE best IS NULL OR prv IS NULL OR prv <> (best & 4294967295)::INTEGER)
 """
 _LONG_STEP = """
-SELECT w, pos, CASE WHEN taken THEN best >> 32 ELSE tok END AS tok, it + 1 AS it, best IS NOT NULL AS live
+SELECT w, pos, CASE WHEN taken THEN (best >> 32)::INTEGER ELSE tok END AS tok, (it + 1)::INTEGER AS it, best IS NOT NULL AS live
 FROM (
   SELECT *, lag(taken, 1, false) OVER (PARTITION BY w ORDER BY pos) AS gone
   FROM (
@@ -47,7 +49,7 @@ FROM (
     FROM (
       SELECT *, coalesce(m = best >> 32, false) AS hit
       FROM (
-        SELECT *, min(m << 32 | pos) OVER (PARTITION BY w) AS best
+        SELECT *, min(m::BIGINT << 32 | pos) OVER (PARTITION BY w) AS best
         FROM (SELECT s.*, m, safe FROM (SELECT *, lead(tok) OVER o AS nxt, row_number() OVER o AS i FROM step WHERE live AND it < ? WINDOW o AS (PARTITION BY w ORDER BY pos)) s
               LEFT JOIN merges ON l = tok AND r = nxt)))))
 WHERE NOT gone
@@ -55,7 +57,7 @@ WHERE NOT gone
 
 
 def _query(step: str) -> str:
-    return f"WITH RECURSIVE step AS (SELECT w, pos, tok, 0 AS it, true AS live FROM init UNION ALL {step}) SELECT w, pos, tok, live FROM step WHERE NOT live OR it = ? ORDER BY pos"
+    return f"WITH RECURSIVE step AS (SELECT w, pos, tok, 0::INTEGER AS it, true AS live FROM init UNION ALL {step}) SELECT w, pos, tok, live FROM step WHERE NOT live OR it = ? ORDER BY pos"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -71,7 +73,7 @@ class Bpe:
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.known_bytes = 0
-        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         rows = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, m = np.array(rows, dtype=np.int64).reshape(-1, 3).T
         later = np.full(max(ranks.values()) + 1, np.iinfo(np.int64).max)
@@ -80,18 +82,18 @@ class Bpe:
         merges = pa.table({"l": l, "r": r, "m": m, "safe": later[m] > m})  # noqa: F841
         pieces = pa.table({"id": list(ranks.values()), "piece": ["".join(chr(256 + b) for b in t) for t in ranks]})  # noqa: F841
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
-        self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM pieces")
+        self.db.execute("CREATE TABLE merges AS SELECT l::INTEGER AS l, r::INTEGER AS r, m::INTEGER AS m, safe FROM merges")
+        self.db.execute("CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, piece FROM pieces")
 
     def _contract(self, init: pa.Table, step: str) -> tuple[np.ndarray, np.ndarray]:
         """Places and tokens at the fixpoint, by place."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while init.num_rows:
             steps = max(4, _ROWS // init.num_rows)
-            found = self.db.execute(_query(step), [steps, steps]).to_arrow_table()
-            live = found.column("live").to_numpy()
-            done.append((found.column("pos").to_numpy()[~live], found.column("tok").to_numpy()[~live]))
-            init = found.filter(pa.array(live)).select(["w", "pos", "tok"])
+            found = self.db.execute(_query(step), [steps, steps]).fetchnumpy()
+            live = np.asarray(found["live"])
+            done.append((found["pos"][~live], found["tok"][~live]))
+            init = pa.table({k: found[k][live] for k in ("w", "pos", "tok")})
         pos, tok = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(pos, kind="stable")
         return pos[order], tok[order]
@@ -104,8 +106,8 @@ class Bpe:
                 some = own[i : i + PIECES]
                 ends = np.cumsum([len(b) for _, b in some])
                 tokens = self.byte[np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8)]
-                words = np.repeat(np.arange(len(some)), np.diff(ends, prepend=0))
-                pos, tok = self._contract(pa.table({"w": words, "pos": np.arange(len(tokens)), "tok": tokens}), _LONG_STEP if long else _SHORT_STEP)
+                words = np.repeat(np.arange(len(some), dtype=np.int32), np.diff(ends, prepend=0))
+                pos, tok = self._contract(pa.table({"w": words, "pos": np.arange(len(tokens), dtype=np.int32), "tok": tokens}), _LONG_STEP if long else _SHORT_STEP)
                 cut = np.searchsorted(pos, ends)
                 flat = tok.astype("<u4").tobytes()
                 for (p, b), start, end in zip(some, np.concatenate([[0], cut[:-1]]).tolist(), cut.tolist()):
@@ -138,8 +140,8 @@ class Bpe:
                 held += len(x) // 4
 
     def _decode(self, group: list[bytes]) -> list[bytes]:
-        tok = np.frombuffer(b"".join(group), dtype="<u4").astype(np.int64)
-        ids = pa.table({"doc": np.repeat(np.arange(len(group)), [len(x) // 4 for x in group]), "pos": np.arange(len(tok)), "id": tok})  # noqa: F841
+        tok = np.frombuffer(b"".join(group), dtype="<u4").astype(np.int32)
+        ids = pa.table({"doc": np.repeat(np.arange(len(group), dtype=np.int32), [len(x) // 4 for x in group]), "pos": np.arange(len(tok), dtype=np.int32), "id": tok})  # noqa: F841
         found = self.db.execute("SELECT doc, string_agg(piece, '' ORDER BY pos) AS t, count(*) AS n FROM ids JOIN vocabulary USING (id) GROUP BY doc").fetchall()
         out, known = [b""] * len(group), 0
         for doc, text, n in found:
