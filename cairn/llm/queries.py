@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, langid, license, minhash, quality
+from cairn.llm import binpack, bpe, chat, common, langid, license, minhash, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,13 +37,23 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_binpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    listed = binpack.write(_table(spark, sf_dir, "documents"), common.new_dir(spark, "ids"), tokenizer, vocabulary=49_408, end_id=2, by_word=True)
+    return binpack.read(spark, listed).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_chat": op3_chat, "op4_langid": op4_langid, "op5_bpe": op5_bpe, "op7_minhash": op7_minhash}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_chat": op3_chat, "op4_langid": op4_langid, "op5_bpe": op5_bpe, "op6_binpack": op6_binpack, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.SQL, "op2_license": license.sql(), "op3_chat": chat.SQL}
+    return {"op1_quality": quality.SQL, "op2_license": license.sql(), "op3_chat": chat.SQL, "op8_mixing": mixing.SQL}
