@@ -111,7 +111,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, mo
     pieces = streams(ranked).withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, final))))
     used = schedule(needed, block).select("rank", "block", "words")
     at = F.col("begin") - F.col("block") * block
-    overlap = F.greatest(F.least(at + F.col("size"), F.col("words")) - F.greatest(at, F.lit(0)), F.lit(0))
+    # no slot, no words: least() would skip the null
+    overlap = F.greatest(F.least(at + F.col("size"), F.coalesce("words", F.lit(0))) - F.greatest(at, F.lit(0)), F.lit(0))
     taken = pieces.join(used, ["rank", "block"], "left")
     return taken.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum(F.coalesce(overlap, F.lit(0))).cast("long").alias("taken")).drop("row")
 
