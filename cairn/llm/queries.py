@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import binpack, bpe, chat, common, langid, license, minhash, mixing, quality
+from cairn.llm import binpack, bpe, chat, common, embed, langid, license, minhash, mixing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op10_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_chat": op3_chat, "op4_langid": op4_langid, "op5_bpe": op5_bpe, "op6_binpack": op6_binpack, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_chat": op3_chat, "op4_langid": op4_langid, "op5_bpe": op5_bpe, "op6_binpack": op6_binpack, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing, "op10_embed": op10_embed}
 
 
 def oracle_sql() -> dict[str, str]:
