@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import binpack, bpe, chat, common, embed, langid, license, minhash, mixing, quality
+from cairn.llm import binpack, bpe, chat, common, embed, langid, license, minhash, mixing, quality, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +51,18 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archive(_table(spark, sf_dir, "pages"))
+    return found.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
+
+
 def op10_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_chat": op3_chat, "op4_langid": op4_langid, "op5_bpe": op5_bpe, "op6_binpack": op6_binpack, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing, "op10_embed": op10_embed}
+    return {"op1_quality": op1_quality, "op2_license": op2_license, "op3_chat": op3_chat, "op4_langid": op4_langid, "op5_bpe": op5_bpe, "op6_binpack": op6_binpack, "op7_minhash": op7_minhash, "op8_mixing": op8_mixing, "op9_warc": op9_warc, "op10_embed": op10_embed}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": quality.SQL, "op2_license": license.sql(), "op3_chat": chat.SQL, "op8_mixing": mixing.SQL}
+    return {"op1_quality": quality.SQL, "op2_license": license.sql(), "op3_chat": chat.SQL, "op8_mixing": mixing.SQL, "op9_warc": warc.SQL}
