@@ -24,7 +24,9 @@ BLOCK = 8192
 #: bits, ids in a block, documents, ids; offsets of the block table and the document table
 _FOOTER = struct.Struct("<IIQQQQ8s")
 #: Words whose ids a Python worker remembers.
-_REMEMBERED = 500_000
+_REMEMBERED = 800_000
+#: Stands between words that are encoded together; a piece and an id of its own.
+_SEPARATOR = "\0"
 #: Ids that a reading task returns in one batch, about.
 _BATCH_IDS = 1_000_000
 
@@ -133,7 +135,9 @@ class WordEncoder:
     """Encodes texts with a tokenizers file.
 
     With by_word, texts are cut at ASCII white space, each word is encoded once a process and texts are joined from
-    words. That is exact for tokenizers that drop white space and whose normaliser and pre-tokenizer never look across it.
+    words; new words lose ASCII upper case and one full stop or comma behind a letter first, and go to the library many
+    in one text, between separators. That is exact for tokenizers that drop white space and case, split punctuation from
+    letters, and never look across white space.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -142,24 +146,44 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
         self.by_word, self.known = by_word, {}
+        if by_word:
+            self.tails = {t: self._ids([t.decode()])[0] for t in (b"", b".", b",")}
+            (self.separator,) = np.frombuffer(self._ids([_SEPARATOR])[0], dtype="<u4")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[bytes]) -> None:
+        parts = []
+        for w in new:
+            base = w.lower()
+            tail = base[-1:] if base[-1] in b".," and base[-2:-1].isalpha() else b""
+            parts.append((w, base[: len(base) - len(tail)], tail))
+        known, odd = self.known, _SEPARATOR.encode()
+        bases = list(dict.fromkeys(b for _, b, _ in parts if b not in known))
+        plain = [b for b in bases if odd not in b]
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            raw = self._ids([f" {_SEPARATOR} ".join(b.decode() for b in some)])[0]
+            at = 4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == self.separator)
+            known.update((b, raw[s:e]) for b, s, e in zip(some, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True))
+        rest = [b for b in bases if odd in b]
+        known.update(zip(rest, self._ids([b.decode() for b in rest])))
+        for w, base, tail in parts:
+            known[w] = known[base] + self.tails[tail]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         if not self.by_word:
             return self._ids(texts)
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
+        known = self.known
+        if len(known) > _REMEMBERED:
+            known.clear()
         cut = [t.encode().split() for t in texts]
         new: dict[bytes, None] = {}
         for ws in cut:
-            new.update(dict.fromkeys(w for w in ws if w not in self.known))
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            self.known.update(zip(new[i : i + 20_000], self._ids([w.decode() for w in new[i : i + 20_000]])))
-        known = self.known
+            new.update(dict.fromkeys([w for w in ws if w not in known]))
+        self._learn(list(new))
         return [b"".join([known[w] for w in ws]) for ws in cut]
 
 
