@@ -145,17 +145,24 @@ def _compare(grid: Grid, kind: str, threshold: float):
         second = table.column("second").to_numpy(zero_copy_only=False)
         left, right = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(~second), np.flatnonzero(second))
         links, parent = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+        # one product gives squared distances: (-2x, |x|^2, 1) . (y, 1, |y|^2)
         part = x[:, grid.parts[block]].astype(np.float32)
-        square = (part * part).sum(axis=1)
+        square, ones = (part * part).sum(axis=1, keepdims=True), np.ones((len(part), 1), dtype=np.float32)
+        probe, build = np.concatenate([-2 * part, square, ones], axis=1), np.concatenate([part, ones, square], axis=1)
+        budget = np.float32(grid.budget[block] + 1e-4)
+        probe, build = probe[left], np.ascontiguousarray(build[right].T)
+        space, flags = np.empty(_ROWS * len(right), dtype=np.float32), np.empty(_ROWS * len(right), dtype=bool)
         for start in range(0, len(left), _ROWS):
             rows = left[start : start + _ROWS]
             cols = right[start:] if one else right
             if not len(cols):
                 break
-            near = square[rows][:, None] + square[cols][None] - 2 * (part[rows] @ part[cols].T) <= grid.budget[block] + 1e-4
+            shape = (len(rows), len(cols))
+            d2 = np.matmul(probe[start : start + _ROWS], build[:, start:] if one else build, out=space[: shape[0] * shape[1]].reshape(shape))
+            near = np.less_equal(d2, budget, out=flags[: shape[0] * shape[1]].reshape(shape))
             if one:
-                near &= np.arange(len(cols))[None] > np.arange(len(rows))[:, None]
-            i, j = np.nonzero(near)
+                near[:, : len(rows)] &= np.triu(np.ones((len(rows),) * 2, dtype=bool), 1)
+            i, j = np.divmod(np.flatnonzero(near), len(cols))
             if 50 * len(i) > near.size:  # many: whole products are faster than picking rows
                 near &= u[rows] @ u[cols].T >= threshold
                 i, j = np.nonzero(near)
