@@ -221,7 +221,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
             yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
     docs = tidy(docs, "doc_id", "text")
-    docs = docs.withColumn("doc_id", docs["doc_id"].cast("long")).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    docs = docs.withColumn("doc_id", docs["doc_id"].cast("long")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     out, start = [], 0
     for row in sorted(docs.mapInArrow(run, "part long, path string, n_docs long, n_ids long").collect()):
         out.append((row["path"], start, row["n_docs"], row["n_ids"]))
