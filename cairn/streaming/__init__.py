@@ -1,0 +1 @@
+"""No streams: the engine's inputs are finite point sets, and its only stream-like step, reading chunk after chunk, is a grouped map."""
