@@ -137,4 +137,7 @@ def move(state: DataFrame, features: Sequence[float], source: int, target: int)
     more = F.zip_with("center", x, lambda c, v: c + (v - c) / (F.col("n") + 1))
     center = F.when(F.col("cluster_id") == source, less).when(F.col("cluster_id") == target, more).otherwise(F.col("center"))
     n = F.col("n") - F.when(F.col("cluster_id") == source, 1).otherwise(0) + F.when(F.col("cluster_id") == target, 1).otherwise(0)
-    return state.select("cluster_id", n.alias("n"), center.alias("center")) if source != target else state
+    if source == target:
+        return state
+    # two steps: in one, a lambda would take the new n for the old
+    return state.select("cluster_id", "n", center.alias("center")).select("cluster_id", n.alias("n"), "center")
