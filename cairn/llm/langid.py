@@ -20,6 +20,8 @@ from cairn.llm.shingles import U, mix
 DIM = 1024
 #: Labelled documents that the prototypes are fitted to, at most about so many, chosen by a hash of doc_id.
 TRAIN_DOCS = 20_000
+#: Cosine below which keep() rejects a document: text in no learned language stays below it, prose of 50 words far above.
+MIN_SCORE = 0.3
 #: Documents bundled at once.
 _BLOCK = 128
 
@@ -134,3 +136,15 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     """
     rows = predict(tidy(docs, "doc_id", "text"), fit(docs, train_docs))
     return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def keep(docs: DataFrame, min_score: float = MIN_SCORE, train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """The rows of docs, all columns, whose language is known with at least min_score; a null lang becomes the predicted one.
+
+    Prototypes are fitted to the labelled rows of docs; without any, every row stays, as nothing can be told.
+    """
+    prototypes = fit(docs, train_docs)
+    if not prototypes:
+        return docs
+    found = predict(docs, prototypes).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)

@@ -183,3 +183,24 @@ def _result(feats: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
     out = join_sized(own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), parts, "rep", salt="doc_id")
     out = out.withColumn("component_id", F.coalesce("component_id", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def keep(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
+    """The rows of docs, all columns, with one document of each component: the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays, unless doc_id is null.
+    """
+    dropped = near_duplicates(docs, percent, size).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")
+    out = docs.join(_side(dropped), F.col("doc_id") == F.col("__id"), "left_anti")
+    repeated = cut(repeated)
+    if repeated.isEmpty():
+        return out
+    same = F.col("doc_id") == F.col("__id")
+    one = out.join(_side(repeated), same, "left_semi").dropDuplicates(["doc_id"])
+    return out.join(_side(repeated), same, "left_anti").unionByName(one)
+
+
+def _side(ids: DataFrame) -> DataFrame:
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids

@@ -117,6 +117,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, mo
     return taken.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum(F.coalesce(overlap, F.lit(0))).cast("long").alias("taken")).drop("row")
 
 
+
+def apply(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes its words, rounded to whole documents (0 to `most` times).
+
+    Documents without words are not taken. Of rows that share a doc_id the largest number holds for all.
+    """
+    taken = mix(docs, weights, share_percent, most, block)
+    copies = taken.select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).otherwise(0).cast("int").alias("copies"))
+    copies = cut(copies.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies <> 1"))
+    side = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    found = docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1))).where("__copies > 0")
+    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+
+
 SQL = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, row_number() OVER () AS rid FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),

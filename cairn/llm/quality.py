@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import SPACE, SPACE_CHARS, cut, join_sized, let, tidy, words
+from cairn.llm.common import BROADCAST_ROWS, SPACE, SPACE_CHARS, cut, join_sized, let, tidy, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -46,18 +46,19 @@ def repeated_words(w: Column, size: int = 3) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the word, symbol, line and repetition counts of every whole text (null text: no words)."""
+    """doc_id, source, a hash of the text, and the word, symbol, line and repetition counts of every whole text (null text: no words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")
     counted = docs.select(
         "doc_id",
         "source",
+        F.xxhash64("text").alias("text_hash"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("w"),
     )
-    return counted.select("doc_id", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"))
+    return counted.select("doc_id", "source", "text_hash", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"))
 
 
 def hosts(measured: DataFrame) -> DataFrame:
@@ -82,6 +83,19 @@ def quality(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     A null or empty text has no words and fails. Documents with a null source share one null host. Repeated rows count
     each. An empty table gives no rows.
     """
+    return _judged(docs, host_limit).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_docs", "host_failures", "host_rejected", "kept"
+    )
+
+
+def keep(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of docs, all columns, that quality() keeps; texts are not shuffled unless very many rows are rejected."""
+    rejected = cut(_judged(docs, host_limit).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    side = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"]), "left_anti")
+
+
+def _judged(docs: DataFrame, host_limit: float) -> DataFrame:
     m = measures(tidy(docs, "doc_id", "text", "source"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     further = (
@@ -93,10 +107,7 @@ def quality(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     m = cut(m.withColumn("base_failed", base).withColumn("failed", F.col("base_failed") | further))
     verdicts = hosts(m).select("source", "host_docs", "host_failures", (F.col("host_rate") > host_limit).alias("host_rejected"))
     out = join_sized(m, cut(verdicts), "source", salt="doc_id")
-    return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_docs", "host_failures", "host_rejected",
-        (~F.col("base_failed") & ~F.col("host_rejected")).alias("kept"),
-    )
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 #: The same rows in SQL for DuckDB.
