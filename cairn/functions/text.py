@@ -43,7 +43,7 @@ def real(s: Column) -> Column:
     error. Without digits before the exponent the value is 0; an exponent below -20 gives 0.
     """
     t = F.regexp_replace(s, r"^[ \t,;]+", "")
-    found = t.rlike(rf"^[+-]?[ \t]*(?:{_MANTISSA}|[eEdD])") & ~t.rlike(rf"^[+-]?[ \t]*{_MANTISSA}?[eEdD][+-]?(?![\d.])")
+    found = t.rlike(rf"^[+-]?[ \t]*(?:{_MANTISSA}|[eEdD])") & ~t.rlike(rf"^[+-]?[ \t]*{_MANTISSA}?[eEdD][+-]?+(?![\d.])")
     number = F.regexp_replace(F.regexp_extract(t, rf"^([+-]?[ \t]*{_MANTISSA})", 0), r"[ \t]", "")
     mantissa = F.when(number.rlike(r"\d"), number).otherwise("0").cast("double")
     power = F.regexp_extract(t, rf"^[+-]?[ \t]*{_MANTISSA}?[eEdD]([+-]?{_MANTISSA})", 1)
