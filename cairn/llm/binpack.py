@@ -137,7 +137,8 @@ class WordEncoder:
     With by_word, texts are cut at ASCII white space, each word is encoded once a process and texts are joined from
     words; new words lose ASCII upper case and one full stop or comma behind a letter first, and go to the library many
     in one text, between separators. That is exact for tokenizers that drop white space and case, split punctuation from
-    letters, and never look across white space.
+    letters, and never look across white space. Words of ASCII letters, which such a tokenizer's normaliser and pattern
+    leave as they are, go through its byte-level model without these two steps.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -147,11 +148,22 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
         self.by_word, self.known = by_word, {}
         if by_word:
+            from tokenizers import pre_tokenizers as pre
+
+            self.bare = Tokenizer(self.tokenizer.model)
+            self.bare.pre_tokenizer = pre.Sequence([pre.WhitespaceSplit(), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
             self.tails = {t: self._ids([t.decode()])[0] for t in (b"", b".", b",")}
             (self.separator,) = np.frombuffer(self._ids([_SEPARATOR])[0], dtype="<u4")
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(x.ids, dtype="<u4").tobytes() for x in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_many(self, words: list[bytes], tokenizer) -> None:
+        for i in range(0, len(words), 2000):
+            some = words[i : i + 2000]
+            raw = self._ids([f" {_SEPARATOR} ".join(w.decode() for w in some)], tokenizer)[0]
+            at = 4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == self.separator)
+            self.known.update((w, raw[s:e]) for w, s, e in zip(some, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True))
 
     def _learn(self, new: list[bytes]) -> None:
         parts = []
@@ -161,12 +173,9 @@ class WordEncoder:
             parts.append((w, base[: len(base) - len(tail)], tail))
         known, odd = self.known, _SEPARATOR.encode()
         bases = list(dict.fromkeys(b for _, b, _ in parts if b not in known))
-        plain = [b for b in bases if odd not in b]
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            raw = self._ids([f" {_SEPARATOR} ".join(b.decode() for b in some)])[0]
-            at = 4 * np.flatnonzero(np.frombuffer(raw, dtype="<u4") == self.separator)
-            known.update((b, raw[s:e]) for b, s, e in zip(some, [0, *(at + 4).tolist()], [*at.tolist(), len(raw)], strict=True))
+        letters = [b for b in bases if b.isalpha()]  # of bytes: ASCII letters alone
+        self._learn_many(letters, self.bare)
+        self._learn_many([b for b in bases if not b.isalpha() and odd not in b], self.tokenizer)
         rest = [b for b in bases if odd in b]
         known.update(zip(rest, self._ids([b.decode() for b in rest])))
         for w, base, tail in parts:
@@ -180,11 +189,13 @@ class WordEncoder:
         if len(known) > _REMEMBERED:
             known.clear()
         cut = [t.encode().split() for t in texts]
+        found = [list(map(known.get, ws)) for ws in cut]
         new: dict[bytes, None] = {}
-        for ws in cut:
-            new.update(dict.fromkeys([w for w in ws if w not in known]))
+        for ws, ids in zip(cut, found):
+            if None in ids:
+                new.update(dict.fromkeys([w for w, x in zip(ws, ids) if x is None]))
         self._learn(list(new))
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+        return [b"".join([known[w] if x is None else x for w, x in zip(ws, ids)] if None in ids else ids) for ws, ids in zip(cut, found)]
 
 
 def _encoder(path: str, by_word: bool) -> WordEncoder:
