@@ -106,8 +106,8 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, list[float]]
     return {lang: (v / np.linalg.norm(v)).tolist() for lang, v in sorted(total.items()) if v.any()}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
-    """The columns of docs with lang_pred and score (cosine, 0 if negative); `und` and 0 without letters or languages."""
+def predict(docs: DataFrame, prototypes: dict[str, list[float]], lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns of docs with the predicted language and its score (cosine, 0 if negative); `und` and 0 without letters or languages."""
     names, matrix = list(prototypes), np.array(list(prototypes.values()), dtype=np.float64).reshape(len(prototypes), DIM).T
 
     def run(batches):
@@ -121,9 +121,9 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]]) -> DataFrame:
                 best = cosines.argmax(axis=1) if names else np.zeros(len(block), dtype=int)
                 preds += [names[k] if ok and names else "und" for k, ok in zip(best, known)]
                 scores += [min(1.0, max(0.0, float(c[k]))) if ok and names else 0.0 for c, k, ok in zip(cosines, best, known)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(b.num_columns)), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, lang, score])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double")
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{lang}` string, `{score}` double")
 
 
 def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -146,5 +146,5 @@ def keep(docs: DataFrame, min_score: float = MIN_SCORE, train_docs: int = TRAIN_
     prototypes = fit(docs, train_docs)
     if not prototypes:
         return docs
-    found = predict(docs, prototypes).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = predict(docs, prototypes, "__lang", "__score").where((F.col("__lang") != "und") & (F.col("__score") >= min_score))
+    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
