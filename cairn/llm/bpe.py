@@ -24,9 +24,9 @@ from cairn.llm.common import tidy
 #: Pieces encoded by one recursive query, and the bytes from which a piece is long.
 PIECES, LONG = 50_000, 48
 #: Accumulated rows of one recursive query, about.
-_ROWS = 4_000_000
+_ROWS = 2_000_000
 #: Encoded pieces that a Python worker remembers, and their bytes.
-_REMEMBERED, _REMEMBERED_BYTES = 800_000, 32_000_000
+_REMEMBERED, _REMEMBERED_BYTES = 500_000, 32_000_000
 #: Tokens decoded by one query.
 _DECODED = 500_000
 
@@ -81,7 +81,7 @@ class Bpe:
         np.minimum.at(later, r, m)
         merges = pa.table({"l": l, "r": r, "m": m, "safe": later[m] > m})  # noqa: F841
         pieces = pa.table({"id": list(ranks.values()), "piece": ["".join(chr(256 + b) for b in t) for t in ranks]})  # noqa: F841
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "512MB", "temp_directory": ""})
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "384MB", "temp_directory": ""})
         self.db.execute("CREATE TABLE merges AS SELECT l::INTEGER AS l, r::INTEGER AS r, m::INTEGER AS m, safe FROM merges")
         self.db.execute("CREATE TABLE vocabulary AS SELECT id::INTEGER AS id, piece FROM pieces")
 

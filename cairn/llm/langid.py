@@ -22,8 +22,8 @@ DIM = 1024
 TRAIN_DOCS = 20_000
 #: Cosine below which keep() rejects a document: text in no learned language stays below it, prose of 50 words far above.
 MIN_SCORE = 0.3
-#: Documents bundled at once.
-_BLOCK = 128
+#: Documents bundled at once, and trigrams bound at once.
+_BLOCK, _GRAMS = 128, 4096
 
 _letter = None
 
@@ -60,14 +60,18 @@ def bundles(texts: list) -> tuple[np.ndarray, np.ndarray]:
     grams, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
     if not len(grams):
         return np.zeros((len(texts), DIM), dtype=np.float32), np.zeros(len(texts), dtype=bool)
-    places = np.stack([grams >> 42, (grams >> 21) & 0x1FFFFF, grams & 0x1FFFFF])
-    points, place = np.unique(places, return_inverse=True)
-    letters, place = _vectors(points), place.reshape(places.shape)
-    bound = np.roll(letters, 2, axis=1)[place[0]] * np.roll(letters, 1, axis=1)[place[1]] * letters[place[2]]
     weights = np.zeros((len(texts), len(grams)), dtype=np.float32)
     lengths = [len(g) for g, _ in found]
     weights[np.repeat(np.arange(len(texts)), lengths), at] = np.concatenate([w for _, w in found])
-    return weights @ bound.astype(np.float32), np.array(lengths) > 0
+    total = np.zeros((len(texts), DIM), dtype=np.float32)
+    for i in range(0, len(grams), _GRAMS):
+        some = grams[i : i + _GRAMS]
+        places = np.stack([some >> 42, (some >> 21) & 0x1FFFFF, some & 0x1FFFFF])
+        points, place = np.unique(places, return_inverse=True)
+        letters, place = _vectors(points), place.reshape(places.shape)
+        bound = np.roll(letters, 2, axis=1)[place[0]] * np.roll(letters, 1, axis=1)[place[1]] * letters[place[2]]
+        total += weights[:, i : i + _GRAMS] @ bound.astype(np.float32)
+    return total, np.array(lengths) > 0
 
 
 def _blocks(column) -> list:
