@@ -167,11 +167,11 @@ def cluster_counts(spark, sf_dir):
     return A.member_counts(_near(spark, sf_dir), 6)
 
 
-@_query(BASE + " SELECT round(sum(d2), 4) AS total FROM ne WHERE row_id % 3 <> 0")
+@_query(BASE + " SELECT round(sum(d2), 4) AS total FROM ne WHERE d2 <= 10000")
 def total_distance(spark, sf_dir):
-    """Points that are set aside have no cluster and do not count."""
+    """Points too far from every center are set aside: they have no cluster and do not count."""
     near = _near(spark, sf_dir)
-    return A.total_distance(near.withColumn("cluster_id", F.when(F.col("row_id") % 3 != 0, F.col("cluster_id")))).select(F.round("total", 4).alias("total"))
+    return A.total_distance(near.withColumn("cluster_id", F.when(F.col("d2") <= 10_000, F.col("cluster_id")))).select(F.round("total", 4).alias("total"))
 
 
 @_query(BASE + " SELECT cluster_id, round(sum(d2), 4) AS energy FROM ne GROUP BY cluster_id")
@@ -502,12 +502,12 @@ def phase_durations(spark, sf_dir):
     return logs.durations(_log(spark, sf_dir), "run").select("AbsoluteTime", "run", "Loop", "duration_ms")
 
 
-@_query("SELECT (epoch_us(ts) // 1000)::BIGINT AS \"AbsoluteTime\", CASE WHEN user_id % 2 = 0 THEN 1 END::INTEGER AS \"Phase\", CASE WHEN user_id % 2 = 1 THEN value END AS \"CPU_Usage\" FROM events")
+@_query("SELECT (epoch_us(ts) // 1000)::BIGINT AS \"AbsoluteTime\", CASE WHEN value < 50 THEN 1 END::INTEGER AS \"Phase\", CASE WHEN value >= 50 THEN value END AS \"CPU_Usage\" FROM events")
 def stacked_logs(spark, sf_dir):
     """Two logs with different columns as one, by time."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("AbsoluteTime"), "user_id", "value")
-    phase = e.where("user_id % 2 = 0").select("AbsoluteTime", F.lit(1).alias("Phase"))
-    return logs.in_order(logs.stack(phase, e.where("user_id % 2 = 1").select("AbsoluteTime", F.col("value").alias("CPU_Usage"))))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_millis(F.col("ts").cast("timestamp")).alias("AbsoluteTime"), "value")
+    phase = e.where("value < 50").select("AbsoluteTime", F.lit(1).alias("Phase"))
+    return logs.in_order(logs.stack(phase, e.where("value >= 50").select("AbsoluteTime", F.col("value").alias("CPU_Usage"))))
 
 
 @_query("SELECT r::INTEGER AS ratio, 13421800::BIGINT // r AS chunk, (ceil((13421800::BIGINT // r * 10 * 8 + 13421800::BIGINT // r * 10 * 8 + 13421800::BIGINT // r * 12) / 1048576::DOUBLE + 1.5) + 1)::BIGINT AS memory_mb, s AS setting, '13421800,' || (13421800 // r) || ',' || r || ',' || s AS tag FROM (VALUES (1), (2), (4), (5), (8), (10)) a(r), (VALUES ('performance'), ('powersave')) b(s)")
