@@ -119,14 +119,15 @@ class Bpe:
         if len(self.known) > _REMEMBERED or self.known_bytes > _REMEMBERED_BYTES:
             self.known.clear()
             self.known_bytes = 0
+        known = self.known
         cut = [self.pattern.findall(t) for t in texts]
+        found = [list(map(known.get, pieces)) for pieces in cut]
         new: dict[str, None] = {}
-        for pieces in cut:
-            new.update(dict.fromkeys(p for p in pieces if p not in self.known))
-        if new:
-            self._learn(list(new))
-        known = self.known
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        for pieces, ids in zip(cut, found):
+            if None in ids:
+                new.update(dict.fromkeys([p for p, x in zip(pieces, ids) if x is None]))
+        self._learn(list(new))
+        return [b"".join([known[p] if x is None else x for p, x in zip(pieces, ids)] if None in ids else ids) for pieces, ids in zip(cut, found)]
 
     def decode(self, ids: list[bytes]) -> Iterator[bytes]:
         """The bytes that each list of ids stands for."""
