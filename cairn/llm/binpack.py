@@ -24,7 +24,7 @@ BLOCK = 8192
 #: bits, ids in a block, documents, ids; offsets of the block table and the document table
 _FOOTER = struct.Struct("<IIQQQQ8s")
 #: Words whose ids a Python worker remembers.
-_REMEMBERED = 800_000
+_REMEMBERED = 1_200_000
 #: Stands between words that are encoded together; a piece and an id of its own.
 _SEPARATOR = "\0"
 #: Ids that a reading task returns in one batch, about.
