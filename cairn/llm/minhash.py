@@ -24,8 +24,8 @@ from cairn.llm.shingles import U, mix, shingle_set
 CHUNKS, WIDTH, ERRORS, BITS = 6, 6, 1, 16
 #: Guaranteed to meet; at similarity 0.85 a pair differs in more than 18 of 36 values with probability below 1e-7.
 REACH = 18
-#: Shingles a tile holds on average.
-TILE = 200_000
+#: Shingles a tile holds on average, and the tiles up to which a candidate group is compared as a whole.
+TILE, MOST_TILES = 200_000, 36
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -156,9 +156,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, tile: int
     keyed = sets.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
     shared = keyed.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first < last").select("key", "first")
     groups = components(keyed.join(shared, "key").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")))
-    found = cut(groups.join(sets.select("rep", "n_shingles"), groups["node"] == F.col("rep")).select("node", F.col("component_id").alias("group_id"), "n_shingles"))
-    sizes = found.groupBy("group_id").agg(F.ceil(F.sum("n_shingles") / F.lit(tile)).alias("tiles"))
-    members = cut(found.join(sizes, "group_id").select(F.col("node").alias("rep"), "group_id", "tiles"))
+    members = _units(groups, sets, keyed, shared, tile)
     full = _with_texts(docs, members).mapInArrow(_sets(size), "group_id long, tiles long, doc_id long, shingles binary")
     full = full.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
     dealt = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
@@ -169,6 +167,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, tile: int
     return _result(feats, sets, parts)
 
 
+def _units(groups: DataFrame, sets: DataFrame, keyed: DataFrame, shared: DataFrame, tile: int) -> DataFrame:
+    """What is compared with what: rep, group_id, tiles.
+
+    A unit is a candidate group. A group of more than MOST_TILES tiles, which chance meetings can chain together, is
+    taken apart into its keys' members instead: these meet all the same, and a member is dealt at most once a key.
+    """
+    found = cut(groups.join(sets.select("rep", "n_shingles"), groups["node"] == F.col("rep")).select("rep", F.col("component_id").alias("group_id"), "n_shingles"))
+    count = F.ceil(F.sum("n_shingles") / F.lit(tile)).alias("tiles")
+    members = cut(found.join(found.groupBy("group_id").agg(count), "group_id").select("rep", "group_id", "tiles", "n_shingles"))
+    large = members.where(F.col("tiles") > MOST_TILES)
+    if large.isEmpty():
+        return members.drop("n_shingles")
+    met = cut(keyed.join(shared.select("key"), "key").join(large.select("rep", "n_shingles"), "rep"))
+    by_key = met.join(met.groupBy("key").agg(count), "key").select("rep", F.col("key").alias("group_id"), "tiles")
+    return cut(members.where(F.col("tiles") <= MOST_TILES).select("rep", "group_id", "tiles").union(by_key))
+
+
 def _with_texts(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Texts of the members of candidate groups; only as many rows as members leave the scan if these may be broadcast."""
     small = F.broadcast(members) if members.count() <= BROADCAST_ROWS else members

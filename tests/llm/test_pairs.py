@@ -53,8 +53,9 @@ def variants():
 ODD = [None, "", " \n", "one", "ONE", "one two", "one  two\t", "a b c d e", "A b C d e", "é b c d e", "É b c d e", "x " * 30_000, "x " * 40_000]
 
 
-@pytest.mark.parametrize("tile", [50, minhash.TILE])
-def test_documents_against_all_pairs(spark, tile):
+@pytest.mark.parametrize(("tile", "most"), [(50, 36), (minhash.TILE, 36), (300, 0)])
+def test_documents_against_all_pairs(spark, monkeypatch, tile, most):
+    monkeypatch.setattr(minhash, "MOST_TILES", most)
     texts = ODD + variants()
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, rep long").repartition(5)
     sets = [shingles(t) for t in texts]
