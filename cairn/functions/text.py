@@ -62,3 +62,8 @@ def prefix_real(s: Column) -> Column:
     """The longest number at the start of s; 0 if there is none (what C's atof gives)."""
     number = F.regexp_extract(F.ltrim(s), r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", 0)
     return F.when(number == "", F.lit("0")).otherwise(number).cast("double")
+
+
+def time_text(ts: Column) -> Column:
+    """A time as day, month's name, year and a twelve-hour clock."""
+    return F.date_format(ts, "dd MMMM yyyy hh:mm:ss a")

@@ -323,11 +323,69 @@ def lloyd_converged(spark, sf_dir):
     return _flat(A.centers_frame(points, found)).withColumn("iterations", F.lit(done))
 
 
+def _cluster_sql(points: str, p: str, first: str, passes: int = 2) -> list[str]:
+    """Farthest-first centers and passes in every chunk of points (ch, li, row_id, x0, x1): tables {p}s, {p}a."""
+    d = "(x0 - c0) * (x0 - c0) + (x1 - c1) * (x1 - c1)"
+    out = [f"{p}f0 AS (SELECT ch, 0 AS k, li, x0 AS c0, x1 AS c1 FROM {points} WHERE li = {first})"]
+    for r in range(1, K):
+        before = " UNION ALL ".join(f"SELECT * FROM {p}f{i}" for i in range(r))
+        far = f"SELECT q.ch, q.li, x0, x1, min({d}) AS d2 FROM {points} q JOIN ({before}) c USING (ch) GROUP BY 1, 2, 3, 4"
+        out.append(f"{p}f{r} AS (SELECT ch, {r} AS k, li, x0 AS c0, x1 AS c1 FROM (SELECT *, row_number() OVER (PARTITION BY ch ORDER BY d2 DESC, li) AS w FROM ({far})) WHERE w = 1)")
+    out.append(f"{p}s AS ({' UNION ALL '.join(f'SELECT * FROM {p}f{i}' for i in range(K))})")
+    for t in range(passes + 1):
+        c = f"{p}c{t}"
+        out.append(f"{c} AS (SELECT ch, k, " + ("c0, c1 FROM " + p + "s)" if not t else f"avg(x0) AS c0, avg(x1) AS c1 FROM {p}a{t - 1} GROUP BY ch, k)"))
+        out.append(f"{p}a{t} AS (SELECT ch, row_id, li, x0, x1, s.k AS k, s.d2 AS d2 FROM (SELECT q.ch, row_id, li, x0, x1, min({{'d2': {d}, 'k': k}}) AS s FROM {points} q JOIN {c} USING (ch) GROUP BY 1, 2, 3, 4, 5))")
+    last = f"SELECT ch, k, count(*) AS n, sum(d2) AS sse FROM {p}a{passes} GROUP BY ch, k"
+    out.append(f"{p}o AS (SELECT ch, k, n, sse, c0, c1, li FROM ({last}) JOIN {p}c{passes} USING (ch, k) JOIN (SELECT ch, k, li FROM {p}s) USING (ch, k))")
+    return out
+
+
+_CHUNKS = [EV, "sz AS (SELECT count(*) // 4 AS t, count(*) AS n FROM ev)", "pt AS (SELECT row_id // t AS ch, row_id % t AS li, row_id, x0, x1 FROM ev, sz WHERE row_id < t * (n // t))", *_cluster_sql("pt", "u", "ch + 1")]
+
+
+@_query(f"WITH {', '.join(_CHUNKS)} SELECT ch * {K} + k AS centroid_id, ch AS chunk_id, k::INTEGER AS cluster_id, n, round(sse, 4) AS sse, 2 AS iterations, li AS init_row, round(c0, 6) AS x0, round(c1, 6) AS x1 FROM uo")
+def chunk_clusters_two_passes(spark, sf_dir):
+    points = _events(spark, sf_dir)
+    size = points.count() // 4
+    found = chunked.cut(chunked.chunk_clusters(points.where(F.col("row_id") < size * 4), K, size, passes=2))
+    return _flat(chunked.centroids_of(found, K, size).drop("var")).withColumn("sse", F.round("sse", 4))
+
+
+def _whole_sql() -> str:
+    groups = """l AS (SELECT list(ch * 4 + k ORDER BY ch * 4 + k) AS ids, list(c0 ORDER BY ch * 4 + k) AS xs, list(c1 ORDER BY ch * 4 + k) AS ys, list(sse / t ORDER BY ch * 4 + k) AS vs FROM uo, sz),
+g AS (
+  SELECT 0 AS step, list_transform(ids, lambda i: -1) AS grp, 0 AS m FROM l
+  UNION ALL
+  SELECT step + 1, CASE WHEN grp[step + 1] >= 0 THEN grp ELSE list_transform(range(1, len(ids) + 1), lambda i: CASE
+    WHEN grp[i] >= 0 OR i < step + 1 THEN grp[i] WHEN i = step + 1 THEN m
+    WHEN (xs[i] - xs[step + 1]) * (xs[i] - xs[step + 1]) + (ys[i] - ys[step + 1]) * (ys[i] - ys[step + 1]) < vs[step + 1] THEN m ELSE -1 END) END,
+    CASE WHEN grp[step + 1] >= 0 THEN m ELSE m + 1 END
+  FROM g, l WHERE step < len(ids)),
+gm AS (SELECT ids[i] AS id, grp[i] AS group_id FROM (SELECT ids, grp, unnest(range(1, len(ids) + 1)) AS i FROM g, l WHERE step = len(ids))),
+me AS (SELECT group_id, row_id, row_number() OVER (PARTITION BY group_id ORDER BY row_id) - 1 AS member_idx FROM ua2 JOIN gm ON ch * 4 + k = id),
+qu AS (SELECT group_id, nb, trunc((nb::FLOAT / n::FLOAT)::FLOAT * t::FLOAT)::INTEGER AS q FROM (SELECT group_id, count(*) AS nb FROM me GROUP BY group_id), sz),
+pa AS (SELECT sum(q) AS one FROM qu),
+pi AS (SELECT p.i * one + coalesce((SELECT sum(b.q) FROM qu b WHERE b.group_id < qu.group_id), 0) + j.j AS o, group_id, (j.j + group_id * q) % nb AS member_idx FROM qu, pa, (SELECT unnest(range((t // one)::BIGINT + 2)) AS i FROM sz, pa) p, (SELECT unnest(range(t)) AS j FROM sz) j WHERE j.j < q),
+sa AS (SELECT 0 AS ch, row_number() OVER (ORDER BY row_id // t, o) - 1 AS li, row_number() OVER (ORDER BY row_id // t, o) - 1 AS row_id, x0, x1 FROM pi JOIN me USING (group_id, member_idx) JOIN ev USING (row_id), sz WHERE o < t)"""
+    parts = [*_CHUNKS, groups, *_cluster_sql("sa", "v", "(SELECT n // t + 1 FROM sz)")]
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT k::INTEGER AS cluster_id, n, round(sse, 4) AS sse, 2 AS iterations, li AS init_row, round(c0, 6) AS x0, round(c1, 6) AS x1 FROM vo"
+
+
+@_query(_whole_sql())
+def chunked_kmeans_two_passes(spark, sf_dir):
+    """The whole computation in four chunks, with two passes in each and two at the end."""
+    points = _events(spark, sf_dir)
+    n = points.count()
+    return _flat(chunked.cluster(points, K, n // 4, n, passes=2).centers).withColumn("sse", F.round("sse", 4))
+
+
 @_query()
 def chunk_clusters(spark, sf_dir):
     points = _events(spark, sf_dir)
-    found = chunked.cut(chunked.chunk_clusters(points, K, max(1, points.count() // 4)))
-    return _flat(chunked.centroids_of(found, K, 250).drop("var")).withColumn("sse", F.round("sse", 4))
+    size = max(1, points.count() // 4)
+    found = chunked.cut(chunked.chunk_clusters(points, K, size))
+    return _flat(chunked.centroids_of(found, K, size).drop("var")).withColumn("sse", F.round("sse", 4))
 
 
 _GREEDY = """
@@ -491,6 +549,27 @@ def parse_reals(spark, sf_dir):
 # logs and sweeps
 
 
+@_query("SELECT event_id, strftime(ts, '%d %B %Y %I:%M:%S %p') AS time_text FROM events")
+def time_texts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.time_text(F.col("ts").cast("timestamp")).alias("time_text"))
+
+
+@_query(BASE + " SELECT row_id, cluster_id // 2 = 0 AS in_first_group, cluster_id NOT IN (0, 3) AS in_no_listed_group FROM ne")
+def group_membership(spark, sf_dir):
+    """Whether a point's centroid is in one group, and whether it is in no group of a list."""
+    rows, groups = _grouped(spark, sf_dir)
+    listed = spark.createDataFrame([(0, 0), (3, 1)], "centroid_id long, other int")
+    known = rows.join(F.broadcast(groups), "centroid_id").join(F.broadcast(listed), "centroid_id", "left")
+    return known.select("row_id", (F.col("group_id") == 0).alias("in_first_group"), F.col("other").isNull().alias("in_no_listed_group"))
+
+
+@_query(BASE + " SELECT row_id, cluster_id, row_id AS kept_row_id FROM ne WHERE cluster_id = (SELECT min(cluster_id) FROM ne)")
+def copied_assignment(spark, sf_dir):
+    """An assignment frame is immutable, so a copy is a projection of it: here the rows of the first cluster."""
+    near = _near(spark, sf_dir)
+    return near.where("cluster_id = 0").select("row_id", "cluster_id", F.col("row_id").alias("kept_row_id"))
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("AbsoluteTime"), F.col("user_id").alias("run"), F.lit(1).alias("Phase"), F.lit(4).alias("Step"), F.col("event_id").cast("int").alias("Loop"))
