@@ -31,7 +31,7 @@ def repeated_words(w: Column, size: int = 3) -> Column:
         # windows sorted by text, then place: equal neighbours are repeats
         def places(s: Column) -> Column:
             hit = F.filter(s, lambda x, i: ((i > 0) & (x["k"] == F.get(s, i - 1)["k"])) | (x["k"] == F.get(s, i + 1)["k"]))
-            starts = F.array_sort(F.transform(hit, lambda x: x["i"]))
+            starts = F.sort_array(F.transform(hit, lambda x: x["i"]))
             return let(starts, covered)
 
         def covered(p: Column) -> Column:
