@@ -6,16 +6,21 @@ clusters are aggregations with map-side combine whose shuffle has a row a cluste
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.vectors import sq_distance
+from cairn.functions.vectors import sq_distance, vector
+from cairn.operators import kernel
 
 Centers = Sequence[Sequence[float]]
 NAN = float("nan")
+#: Up to so many coordinates of centers, distances are written out in generated code. Beyond, one method would outgrow
+#: what the JVM compiles, and Arrow batches in numpy are faster.
+WRITTEN_OUT = 64
 
 
 def collect_centers(centers: DataFrame) -> list[list[float]]:
@@ -33,22 +38,62 @@ def distances(points: DataFrame, centers: Centers) -> DataFrame:
     return points.select("row_id", F.explode(each).alias("d")).select("row_id", "d.cluster_id", "d.d2")
 
 
+def written_out(centers: Centers) -> bool:
+    return sum(map(len, centers)) <= WRITTEN_OUT
+
+
+def to_centers(features: Column, centers: Centers) -> Column:
+    """Squared distances to all centers as one array."""
+    if written_out(centers):
+        return F.array(*(sq_distance(features, c) for c in centers))
+    return F.transform(F.array(*map(vector, centers)), lambda c: sq_distance(features, c))
+
+
+def least(d2: Column) -> Column:
+    """Struct (d2, cluster_id) of the least distance in an array; the lowest id on ties; NaN never wins; nulls if all are NaN."""
+    low = F.array_min(d2)
+    known = ~F.isnan(low)
+    return F.struct(F.when(known, low).alias("d2"), F.when(known, (F.array_position(d2, low) - 1).cast("int")).alias("cluster_id"))
+
+
 def nearest(features: Column, centers: Centers) -> Column:
-    """Struct (d2, cluster_id) of the nearest center: the lowest id on ties; a NaN distance never wins; null if all are NaN."""
-    each = []
-    for i, c in enumerate(centers):
-        if not any(math.isnan(v) for v in c):
-            d = sq_distance(features, c)
-            each.append(F.struct(d.alias("d2"), F.lit(i).alias("cluster_id")))
-    if not each:
-        return F.lit(None).cast("struct<d2:double,cluster_id:int>")
-    best = F.least(*each) if len(each) > 1 else each[0]
-    return F.when(~F.isnan(best["d2"]), best)
+    """Struct (d2, cluster_id) of the nearest center, by the rules of least()."""
+    return least(to_centers(features, centers))
 
 
 def assign(points: DataFrame, centers: Centers) -> DataFrame:
     """Points with cluster_id and d2 of their nearest center (null where no distance is a number)."""
-    return points.withColumn("near", nearest(F.col("features"), centers)).select(*points.columns, "near.cluster_id", "near.d2")
+    if not written_out(centers):
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+        return points.mapInArrow(_assign(centers, points.columns.index("features")), f"{fields}, cluster_id int, d2 double")
+    # the array is a column of its own, so that its two uses share one computation
+    found = points.select(*points.columns, to_centers(F.col("features"), centers).alias("__d2"))
+    near = least(F.col("__d2"))
+    return found.select(*points.columns, near["cluster_id"].alias("cluster_id"), near["d2"].alias("d2"))
+
+
+def matrix(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of an Arrow list column as rows, and which rows of the column they are (those that are not null)."""
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return x.reshape(len(there), -1) if len(there) else np.empty((0, 0)), there
+
+
+def _assign(centers: Centers, at: int):
+    c = np.array(centers, dtype=np.float64)
+
+    def run(batches):
+        for b in batches:
+            x, there = matrix(b.column(at))
+            cluster, low = np.full(b.num_rows, -1, dtype=np.int32), np.full(b.num_rows, np.nan)
+            if len(there):
+                d2 = kernel.sq_distances(x, c)
+                cluster[there] = near = kernel.assign(d2)
+                low[there] = d2[np.arange(len(x)), np.maximum(near, 0)]
+            none = cluster < 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cluster, mask=none), pa.array(low, mask=none)], names=[*b.schema.names, "cluster_id", "d2"])
+
+    return run
 
 
 def _every(found: DataFrame, k: int) -> DataFrame:
@@ -112,7 +157,8 @@ def change_count(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def change_count_of(points: DataFrame, before: Centers, after: Centers) -> DataFrame:
     """change_count for two sets of centers of the same points: one scan, no join."""
-    both = points.select((~nearest(F.col("features"), before)["cluster_id"].eqNullSafe(nearest(F.col("features"), after)["cluster_id"])).cast("long").alias("x"))
+    was = assign(points.select("features"), before).select("features", F.col("cluster_id").alias("was"))
+    both = assign(was, after).select((~F.col("was").eqNullSafe(F.col("cluster_id"))).cast("long").alias("x"))
     return both.agg(F.coalesce(F.sum("x"), F.lit(0)).alias("n_changed"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 MAX_PASSES = 150
+_BLOCK = 4096
 
 
 class TooFewPoints(ValueError):
@@ -13,10 +14,11 @@ class TooFewPoints(ValueError):
 
 def sq_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Squared distances of points to centers, by differences (no expansion, which would lose digits)."""
-    out = np.empty((len(x), len(c)))
-    for j, center in enumerate(c):
-        d = x - center
-        out[:, j] = np.einsum("ij,ij->i", d, d)
+    out = np.empty((len(c), len(x))).T  # a column a center, each contiguous
+    for i in range(0, len(x), _BLOCK):  # blocks stay in the processor's cache
+        for j, center in enumerate(c):
+            d = x[i : i + _BLOCK] - center
+            out[i : i + _BLOCK, j] = np.einsum("ij,ij->i", d, d)
     return out
 
 

@@ -5,11 +5,13 @@ Every step is one scan with a map-side combined aggregation of k rows; only cent
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.vectors import sq_distance
-from cairn.operators.assign import Centers, assign, centroids, collect_centers, nearest
+from cairn.operators import kernel
+from cairn.operators.assign import Centers, matrix, to_centers
 from cairn.operators.kernel import MAX_PASSES, TooFewPoints
 
 #: A total may exceed the one before by this share before it counts as worse: partial sums come in any order.
@@ -26,8 +28,7 @@ def row(points: DataFrame, row_id: int) -> list[float]:
 
 def farthest(points: DataFrame, chosen: Centers) -> tuple[int, list[float], float] | None:
     """Row, features and squared distance of the point farthest from its nearest chosen center; the lowest row on ties."""
-    each = [sq_distance(F.col("features"), c) for c in chosen]
-    near = F.least(*each) if len(each) > 1 else each[0]
+    near = F.array_min(to_centers(F.col("features"), chosen))
     ranked = points.select(F.struct(F.when(~F.isnan(near), near).alias("d2"), (-F.col("row_id")).alias("order"), "features").alias("r"))
     best = ranked.agg(F.max("r").alias("r")).first()["r"]
     return None if best is None or best["d2"] is None else (-best["order"], list(best["features"]), best["d2"])
@@ -47,32 +48,60 @@ def farthest_first(points: DataFrame, k: int, first: int = 1) -> list[tuple[int,
 def lloyd(points: DataFrame, centers: Centers, passes: int = MAX_PASSES) -> tuple[list[list[float]], int]:
     """Centers and finished passes, by the rules of the in-task form; totals are compared with a tolerance.
 
-    A pass is one scan: the aggregation by new cluster gives the total distance to the moved centers, the number of
-    points that changed, and the sums for the next means.
+    A pass is one scan, which gives the total distance to the moved centers, the number of points that changed, and the
+    next means.
     """
-    dim, k = len(centers[0]), len(centers)
-    now, best, done = [list(map(float, c)) for c in centers], float("inf"), 0
-    moved = collect_centers(centroids(assign(points, now), k, dim))
+    now, best, done = np.array(centers, dtype=np.float64), float("inf"), 0
+    moved = _pass(points, now, now)[2]
     while done < passes:
         total, changed, ahead = _pass(points, now, moved)
         if total > best * (1 + TOLERANCE):
-            return now, done
+            break
         now = moved
         if not changed:
             break
         moved, best, done = ahead, total, done + 1
-    return now, done
-
-
-def _pass(points: DataFrame, now: Centers, moved: Centers) -> tuple[float, int, list[list[float]]]:
-    dim, k = len(moved[0]), len(moved)
-    near = lambda c: nearest(F.col("features"), c)["cluster_id"]
-    both = points.select("features", near(now).alias("was"), near(moved).alias("new"))
-    own = F.coalesce(*(F.when(F.col("was") == i, sq_distance(F.col("features"), c)) for i, c in enumerate(moved)))
-    sums = [F.sum(F.get("features", F.lit(i))).alias(f"s{i}") for i in range(dim)]
-    rows = both.groupBy("new").agg(F.count("*").alias("n"), F.sum(own).alias("total"), F.sum((~F.col("was").eqNullSafe(F.col("new"))).cast("long")).alias("changed"), *sums).collect()
-    ahead = [[float("nan")] * dim for _ in range(k)]
-    for r in rows:
-        if r["new"] is not None:
-            ahead[r["new"]] = [r[f"s{i}"] / r["n"] for i in range(dim)]
-    return sum(r["total"] or 0.0 for r in rows), sum(r["changed"] for r in rows), ahead
+    return now.tolist(), done
+
+
+_SUMS = pa.schema([("cluster_id", pa.int32()), ("n", pa.int64()), ("total", pa.float64()), ("changed", pa.int64()), ("sums", pa.list_(pa.float64()))])
+
+
+def _partial(now: np.ndarray, moved: np.ndarray):
+    """A task's sums by new cluster, in k rows."""
+
+    def run(batches):
+        k, dim = moved.shape
+        n, total, changed, sums = np.zeros(k + 1, dtype=np.int64), np.zeros(k + 1), np.zeros(k + 1, dtype=np.int64), np.zeros((k + 1, dim))
+        for b in batches:
+            x, _ = matrix(b.column(0))
+            if not len(x):
+                continue
+            was, d2 = kernel.assign(kernel.sq_distances(x, now)), kernel.sq_distances(x, moved)
+            new = kernel.assign(d2)
+            own = np.where(was >= 0, d2[np.arange(len(x)), was], 0)
+            at = np.where(new >= 0, new, k)
+            n += np.bincount(at, minlength=k + 1)
+            total += np.bincount(at, weights=own, minlength=k + 1)
+            changed += np.bincount(at, weights=was != new, minlength=k + 1).astype(np.int64)
+            for j in range(dim):
+                sums[:, j] += np.bincount(at, weights=x[:, j], minlength=k + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(k + 1), pa.int32()), pa.array(n), pa.array(total), pa.array(changed), pa.array(sums.tolist(), pa.list_(pa.float64()))], schema=_SUMS)
+
+    return run
+
+
+def _pass(points: DataFrame, now: np.ndarray, moved: np.ndarray) -> tuple[float, int, np.ndarray]:
+    """Total distance of points to the moved centers of their old clusters, points that change, means of the new clusters.
+
+    Distances are computed on Arrow batches; k rows a task are shuffled. An empty cluster's mean is NaN.
+    """
+    k, dim = moved.shape
+    parts = points.select("features").mapInArrow(_partial(now, moved), "cluster_id int, n long, total double, changed long, sums array<double>")
+    sums = [F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in range(dim)]
+    total, changed, means = 0.0, 0, np.full((k, dim), np.nan)
+    for r in parts.groupBy("cluster_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("changed").alias("changed"), *sums).orderBy("cluster_id").collect():
+        total, changed = total + r["total"], changed + r["changed"]
+        if r["cluster_id"] < k and r["n"]:
+            means[r["cluster_id"]] = [r[f"s{i}"] / r["n"] for i in range(dim)]
+    return total, changed, means
