@@ -9,6 +9,7 @@ name is new in every attempt, and only files that a finished task reports are re
 
 from __future__ import annotations
 
+import os
 import struct
 
 import numpy as np
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import files
+from cairn.llm import files, worker
 from cairn.llm.common import tidy
 
 MAGIC = b"BITIDS01"
@@ -128,9 +129,6 @@ class Reader:
         return flat[start - first * self.block : end - first * self.block]
 
 
-_encoders: dict[tuple[str, bool], "WordEncoder"] = {}
-
-
 class WordEncoder:
     """Encodes texts with a tokenizers file.
 
@@ -199,12 +197,8 @@ class WordEncoder:
 
 
 def _encoder(path: str, by_word: bool) -> WordEncoder:
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    if (path, by_word) not in _encoders:
-        _encoders[path, by_word] = WordEncoder(path, by_word)
-    return _encoders[path, by_word]
+    return worker.keep(("words", path, by_word), lambda: WordEncoder(path, by_word))
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id: int, by_word: bool = False) -> list[tuple[str, int, int, int]]:

@@ -11,6 +11,7 @@ bounded number of steps, so that its accumulated rows stay bounded, and the next
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import duckdb
@@ -19,14 +20,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from cairn.llm import worker
 from cairn.llm.common import tidy
 
 #: Pieces encoded by one recursive query, and the bytes from which a piece is long.
-PIECES, LONG = 50_000, 48
+PIECES, LONG = 20_000, 48
 #: Accumulated rows of one recursive query, about.
 _ROWS = 2_000_000
 #: Encoded pieces that a Python worker remembers, and their bytes.
-_REMEMBERED, _REMEMBERED_BYTES = 500_000, 32_000_000
+_REMEMBERED, _REMEMBERED_BYTES = 400_000, 32_000_000
 #: Tokens decoded by one query.
 _DECODED = 500_000
 
@@ -153,21 +155,12 @@ class Bpe:
         return out
 
 
-_made: dict[str, Bpe] = {}
-
-
-def _bpe(shared, pattern: str) -> Bpe:
-    """The process's tokenizer, made once for a broadcast rank table and pattern."""
-    key = f"{shared.id if hasattr(shared, 'id') else id(shared)}:{pattern}"
-    if key not in _made:
-        _made.clear()
-        _made[key] = Bpe(shared.value, pattern)
-    return _made[key]
-
-
-def _share(spark: SparkSession, path: str):
+def _maker(spark: SparkSession, path: str, pattern: str):
+    """What gives a worker's tokenizer, made once a process for the same ranks and pattern."""
+    ranks = read_ranks(path)
     # a vocabulary: of fixed size, read on the driver so that executors need not have the file
-    return spark.sparkContext.broadcast(read_ranks(path))
+    shared, key = spark.sparkContext.broadcast(ranks), ("bpe", pattern, hashlib.sha256(repr(ranks).encode()).hexdigest())
+    return lambda: worker.keep(key, lambda: Bpe(shared.value, pattern))
 
 
 def _small(batch: pa.RecordBatch, most: int = 512) -> Iterator[pa.RecordBatch]:
@@ -181,10 +174,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Takes doc_id and text; other columns are not read. A null or empty text has no tokens. A row per input row, also
     for repeated rows; an empty table gives none. path is a rank file, pattern what cuts texts before merging.
     """
-    shared = _share(docs.sparkSession, path)
+    make = _maker(docs.sparkSession, path, pattern)
 
     def run(batches):
-        bpe = _bpe(shared, pattern)
+        bpe = make()
         for batch in batches:
             for b in _small(batch):
                 ids = bpe.encode([t or "" for t in b.column(1).to_pylist()])
@@ -196,10 +189,10 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """The rows of encode() with decoded: the bytes that ids stand for (null ids: none)."""
-    shared = _share(encoded.sparkSession, path)
+    make = _maker(encoded.sparkSession, path, pattern)
 
     def run(batches):
-        bpe = _bpe(shared, pattern)
+        bpe = make()
         for batch in batches:
             for b in _small(batch):
                 out = list(bpe.decode([x or b"" for x in b.column(2).to_pylist()]))

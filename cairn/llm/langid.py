@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import worker
 from cairn.llm.common import tidy
 from cairn.llm.shingles import U, mix
 
@@ -79,6 +80,7 @@ def _blocks(column) -> list:
 
 
 def _sums(batches):
+    worker.forget()
     total: dict[str, np.ndarray] = {}
     for b in batches:
         langs, done = b.column("lang").to_pylist(), 0
@@ -115,6 +117,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], lang: str = "la
     names, matrix = list(prototypes), np.array(list(prototypes.values()), dtype=np.float64).reshape(len(prototypes), DIM).T
 
     def run(batches):
+        worker.forget()
         for b in batches:
             preds, scores = [], []
             for block in _blocks(b.column("text")):

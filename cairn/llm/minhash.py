@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm import worker
 from cairn.llm.common import BROADCAST_ROWS, components, cut, join_sized, tidy
 from cairn.llm.shingles import U, mix, shingle_set
 
@@ -57,6 +58,7 @@ def _features(size: int):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
     def run(batches):
+        worker.forget()
         for b in batches:
             rows, held = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
