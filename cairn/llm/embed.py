@@ -54,6 +54,10 @@ class Grid:
             for k, n in enumerate(counts):
                 borders[k] = np.quantile(x[:, p[k]], np.arange(1, n) / n)
 
+    def cells(self) -> int:
+        """Cells of the block that has most."""
+        return max(int(np.prod([len(x) + 1 for x in borders])) for borders in self.borders)
+
     def rotated(self, v: np.ndarray) -> np.ndarray:
         """Unit vectors, rotated."""
         return unit(v) @ self.turn
@@ -104,9 +108,10 @@ def _deal(grid: Grid, kind: str):
     """A row for each block and reachable pair of cells (lo <= hi); high says that the vector's own cell is hi."""
 
     def run(batches):
+        most = max(1, min(2048, 4_000_000 // grid.cells()))  # distances to all cells of a block are held at once
         for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                some = batch.slice(i, 2048)
+            for i in range(0, batch.num_rows, most):
+                some = batch.slice(i, most)
                 x = grid.rotated(_matrix(some.column("raw").to_pylist(), kind))
                 for b in range(len(grid.parts)):
                     own, near = grid.reach(x, b)
