@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import files, worker
-from cairn.llm.common import tidy
+from cairn.llm.common import bounded_batches, tidy
 
 MAGIC = b"BITIDS01"
 BLOCK = 8192
@@ -208,6 +208,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, vocabulary: int, end_id:
     columns are not read. Returns the files in ascending doc_id order: (path, start, documents, ids), start being the
     ids of all files before; a row a file. An empty table gives no files.
     """
+    bounded_batches(docs.sparkSession)
     bits = width(vocabulary)
 
     def run(batches):

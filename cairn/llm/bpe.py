@@ -21,14 +21,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import worker
-from cairn.llm.common import tidy
+from cairn.llm.common import bounded_batches, tidy
 
 #: Pieces encoded by one recursive query, and the bytes from which a piece is long.
 PIECES, LONG = 20_000, 48
 #: Accumulated rows of one recursive query, about.
 _ROWS = 2_000_000
 #: Encoded pieces that a Python worker remembers, and their bytes.
-_REMEMBERED, _REMEMBERED_BYTES = 400_000, 32_000_000
+_REMEMBERED, _REMEMBERED_BYTES = 300_000, 32_000_000
 #: Tokens decoded by one query.
 _DECODED = 500_000
 
@@ -157,6 +157,7 @@ class Bpe:
 
 def _maker(spark: SparkSession, path: str, pattern: str):
     """What gives a worker's tokenizer, made once a process for the same ranks and pattern."""
+    bounded_batches(spark)
     ranks = read_ranks(path)
     # a vocabulary: of fixed size, read on the driver so that executors need not have the file
     shared, key = spark.sparkContext.broadcast(ranks), ("bpe", pattern, hashlib.sha256(repr(ranks).encode()).hexdigest())

@@ -17,6 +17,9 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A side of a join is broadcast only if a count has shown at most so many rows of a few dozen bytes each.
 BROADCAST_ROWS = 200_000
 
+#: Rows of an Arrow batch between the JVM and Python: texts are long, and both sides hold whole batches.
+BATCH_ROWS = 1000
+
 #: Shares into which a hot key's rows are dealt when the other side is too large to broadcast.
 SALTS = 32
 
@@ -31,6 +34,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Has the session send Arrow batches of at most BATCH_ROWS rows (it is read when a query runs, so it stays set)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

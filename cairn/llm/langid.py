@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import worker
-from cairn.llm.common import tidy
+from cairn.llm.common import bounded_batches, tidy
 from cairn.llm.shingles import U, mix
 
 DIM = 1024
@@ -103,6 +103,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, list[float]]
     At most about train_docs documents, a share of all by a hash of doc_id, so what reaches the driver is one sum a
     language and task, whatever the table's size.
     """
+    bounded_batches(docs.sparkSession)
     usable = tidy(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out())
     share = min(1.0, train_docs / max(1, usable.count()))
     sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text").repartition(16)
@@ -114,6 +115,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, list[float]]
 
 def predict(docs: DataFrame, prototypes: dict[str, list[float]], lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """The columns of docs with the predicted language and its score (cosine, 0 if negative); `und` and 0 without letters or languages."""
+    bounded_batches(docs.sparkSession)
     names, matrix = list(prototypes), np.array(list(prototypes.values()), dtype=np.float64).reshape(len(prototypes), DIM).T
 
     def run(batches):

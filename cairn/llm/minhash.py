@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import worker
-from cairn.llm.common import BROADCAST_ROWS, components, cut, join_sized, tidy
+from cairn.llm.common import BROADCAST_ROWS, bounded_batches, components, cut, join_sized, tidy
 from cairn.llm.shingles import U, mix, shingle_set
 
 CHUNKS, WIDTH, ERRORS, BITS = 6, 6, 1, 16
@@ -151,6 +151,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, tile: int
     shingle; A-Z count as a-z. Rows that share a doc_id are one document. A null doc_id links with nothing: its
     component_id is null and it is kept. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     docs = tidy(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     feats = cut(docs.mapInArrow(_features(size), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"))
     usable = feats.where("doc_id is not null and n_shingles > 0")

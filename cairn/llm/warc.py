@@ -28,7 +28,7 @@ from pyspark.sql.datasource import (
 )
 
 from cairn.llm import files
-from cairn.llm.common import cut, join_sized, new_dir, tidy
+from cairn.llm.common import bounded_batches, cut, join_sized, new_dir, tidy
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 _ARROW = pa.schema([*((c, pa.string()) for c in ("record_id", "record_type", "target_uri", "date", "payload_digest")), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())])
@@ -302,6 +302,7 @@ class WarcDataSource(DataSource):
 
 
 def _register(spark: SparkSession) -> None:
+    bounded_batches(spark)
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
