@@ -133,10 +133,12 @@ class WordEncoder:
     """Encodes texts with a tokenizers file.
 
     With by_word, texts are cut at ASCII white space, each word is encoded once a process and texts are joined from
-    words; new words lose ASCII upper case and one full stop or comma behind a letter first, and go to the library many
-    in one text, between separators. That is exact for tokenizers that drop white space and case, split punctuation from
-    letters, and never look across white space. Words of ASCII letters, which such a tokenizer's normaliser and pattern
-    leave as they are, go through its byte-level model without these two steps.
+    words; new words go to the library many in one text, between separators. New words of ASCII alone lose upper case
+    and one full stop or comma behind a letter first; others go as they are, since a normaliser may compose a capital
+    with a mark before it drops case (H with a line below has no precomposed form, h has). That is exact for tokenizers
+    that drop white space and case, split punctuation from letters, and never look across white space. Words of ASCII
+    letters, which such a tokenizer's normaliser and pattern leave as they are, go through its byte-level model without
+    these two steps.
     """
 
     def __init__(self, path: str, by_word: bool):
@@ -166,6 +168,9 @@ class WordEncoder:
     def _learn(self, new: list[bytes]) -> None:
         parts = []
         for w in new:
+            if not w.isascii():
+                parts.append((w, w, b""))
+                continue
             base = w.lower()
             tail = base[-1:] if base[-1] in b".," and base[-2:-1].isalpha() else b""
             parts.append((w, base[: len(base) - len(tail)], tail))

@@ -142,3 +142,11 @@ def test_words_alone_are_words_in_texts():
     texts = ["".join(chr(random.choice(letters)) for _ in range(random.randint(0, 25))) for _ in range(5000)]
     whole, parts = binpack.WordEncoder(WORD_BPE, False), binpack.WordEncoder(WORD_BPE, True)
     assert whole.encode(texts) == parts.encode(texts)
+
+
+def test_capitals_with_combining_marks_as_in_texts():
+    marks = [chr(m) for m in range(0x300, 0x370)]
+    texts = [f"{a}{m}{b}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks for b in ("olon", "a.", "A,")]
+    texts += ["H\u0331olon T\u0308a J\u030ca W\u030aa, Y\u030aa."]
+    whole, parts = binpack.WordEncoder(WORD_BPE, False), binpack.WordEncoder(WORD_BPE, True)
+    assert whole.encode(texts) == parts.encode(texts)
