@@ -19,8 +19,6 @@ from cairn.llm.common import bounded_batches, tidy
 from cairn.llm.shingles import U, mix
 
 DIM = 1024
-#: Labelled documents that the prototypes are fitted to, at most about so many, chosen by a hash of doc_id.
-TRAIN_DOCS = 20_000
 #: Cosine below which keep() rejects a document: text in no learned language stays below it, prose of 50 words far above.
 MIN_SCORE = 0.3
 #: Documents bundled at once, and trigrams bound at once.
@@ -97,19 +95,19 @@ def held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict[str, list[float]]:
-    """Unit prototypes by language, from the labelled documents that are not held out; {} if there are none.
+def fit(docs: DataFrame) -> dict[str, list[float]]:
+    """Unit prototypes by language, from all labelled documents that are not held out; {} if there are none.
 
-    At most about train_docs documents, a share of all by a hash of doc_id, so what reaches the driver is one sum a
-    language and task, whatever the table's size.
+    Texts stay where they are read: a task makes one sum a language, these are added up by language and place, and one
+    sum a language reaches the driver, whatever the table's size.
     """
     bounded_batches(docs.sparkSession)
     usable = tidy(docs, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out())
-    share = min(1.0, train_docs / max(1, usable.count()))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text").repartition(16)
+    parts = usable.select("lang", "text").mapInArrow(_sums, "lang string, total array<bigint>")
+    sums = parts.select("lang", F.posexplode("total").alias("place", "v")).groupBy("lang", "place").agg(F.sum("v").alias("v"))
     total: dict[str, np.ndarray] = {}
-    for row in sample.mapInArrow(_sums, "lang string, total array<bigint>").collect():
-        total[row["lang"]] = total.get(row["lang"], 0) + np.array(row["total"], dtype=np.int64)
+    for row in sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "v"))).alias("total")).collect():
+        total[row["lang"]] = np.array([x["v"] for x in row["total"]], dtype=np.int64)
     return {lang: (v / np.linalg.norm(v)).tolist() for lang, v in sorted(total.items()) if v.any()}
 
 
@@ -135,7 +133,7 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], lang: str = "la
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", `{lang}` string, `{score}` double")
 
 
-def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def identify(docs: DataFrame) -> DataFrame:
     """Predicted language of every document: doc_id, held_out, lang_pred, score.
 
     Takes doc_id, text and lang (null: not learned from); other columns are not read, and only text enters a
@@ -143,16 +141,16 @@ def identify(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> DataFrame:
     learned. A null doc_id counts as the empty string when held-out documents are drawn. Repeated rows and ties (the
     first language by code point) are deterministic; an empty table gives no rows.
     """
-    rows = predict(tidy(docs, "doc_id", "text"), fit(docs, train_docs))
+    rows = predict(tidy(docs, "doc_id", "text"), fit(docs))
     return rows.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep(docs: DataFrame, min_score: float = MIN_SCORE, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def keep(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs, all columns, whose language is known with at least min_score; a null lang becomes the predicted one.
 
     Prototypes are fitted to the labelled rows of docs; without any, every row stays, as nothing can be told.
     """
-    prototypes = fit(docs, train_docs)
+    prototypes = fit(docs)
     if not prototypes:
         return docs
     found = predict(docs, prototypes, "__lang", "__score").where((F.col("__lang") != "und") & (F.col("__score") >= min_score))

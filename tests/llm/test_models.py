@@ -51,6 +51,19 @@ def test_language_learns_from_its_share_only(spark):
     assert {tuple(r) for r in langid.identify(hidden).collect()} == {tuple(r) for r in langid.identify(docs).collect()}
 
 
+def test_small_language_in_a_large_table_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(100_000).withColumnRenamed("id", "doc_id")
+    # a share of the table by a hash of doc_id would take these last
+    few = [r["doc_id"] for r in ids.where(~langid.held_out()).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).desc()).limit(3).collect()]
+    small = F.col("doc_id").isin(few)
+    docs = ids.withColumn("text", F.when(small, F.lit("кот и пёс у дома")).otherwise(F.lit("the cat and dog"))).withColumn("lang", F.when(small, F.lit("ru")).otherwise(F.lit("en")))
+    assert sorted(langid.fit(docs)) == ["en", "ru"]
+    assert {r["doc_id"] for r in langid.identify(docs).where("lang_pred = 'ru'").collect()} == set(few)
+    assert {r["doc_id"] for r in langid.keep(docs).where("lang = 'ru'").collect()} == set(few)
+
+
 @pytest.fixture(scope="module")
 def reference():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
