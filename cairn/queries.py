@@ -174,6 +174,12 @@ def total_distance(spark, sf_dir):
     return A.total_distance(near.withColumn("cluster_id", F.when(F.col("d2") <= 10_000, F.col("cluster_id")))).select(F.round("total", 4).alias("total"))
 
 
+@_query(BASE + " SELECT round(sum(d2), 4) AS total FROM ne")
+def total_distance_all(spark, sf_dir):
+    """The sum over all assigned points of the whole table; only points without a finite distance are skipped."""
+    return A.total_distance(_near(spark, sf_dir)).select(F.round("total", 4).alias("total"))
+
+
 @_query(BASE + " SELECT cluster_id, round(sum(d2), 4) AS energy FROM ne GROUP BY cluster_id")
 def cluster_energy(spark, sf_dir):
     return A.cluster_energy(_near(spark, sf_dir), K).select("cluster_id", F.round("energy", 4).alias("energy"))

@@ -38,6 +38,18 @@ def test_core_query_without_sql(spark, name):
     assert core.queries()[name](spark, SF).count() > 0
 
 
+def events_of(spark, path, values):
+    rows = [(i, v, 0) for i, v in enumerate(values)]
+    spark.createDataFrame(rows, "event_id long, value double, user_id long").write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_total_distance_skips_only_unassigned_points(spark, tmp_path):
+    """Centers 0, 10, 20 and 30; a point 200 away counts, a NaN and a null do not."""
+    sf = events_of(spark, tmp_path, [0.0, 10.0, 20.0, 30.0, 13.0, 230.0, float("nan"), None])
+    assert core.queries()["total_distance_all"](spark, sf).first()["total"] == 9 + 200**2
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
