@@ -90,9 +90,11 @@ def quality(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 
 def keep(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs, all columns, that quality() keeps; texts are not shuffled unless very many rows are rejected."""
-    rejected = cut(_judged(docs, host_limit).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct())
+    rejected = _judged(docs, host_limit).where(~F.col("kept"))
+    rejected = cut(rejected.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash")).distinct())
     side = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
-    return docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]) & (F.xxhash64(docs["text"]) == side["__hash"]), "left_anti")
+    same = docs["doc_id"].eqNullSafe(side["__id"]) & docs["source"].eqNullSafe(side["__source"]) & (F.xxhash64(docs["text"]) == side["__hash"])
+    return docs.join(side, same, "left_anti")
 
 
 def _judged(docs: DataFrame, host_limit: float) -> DataFrame:

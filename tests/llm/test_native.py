@@ -172,3 +172,13 @@ def test_query_against_sql(spark, name):
     rows = [tuple(r[c] for c in names) for r in found.collect()]
     key = lambda r: tuple("" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r)
     assert sorted(map(key, rows)) == sorted(map(key, want.fetchall()))
+
+
+def test_keep_judges_copies_by_their_own_host(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{text} {i}", "good") for i in range(40)] + [(100 + i, "short", "bad") for i in range(40)] + [(200 + i, f"{text} {i}", None) for i in range(40)]
+    rows += [(d, text, s) for d in (1000, None) for s in ("good", "bad", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = quality.keep(docs)
+    assert kept.count() == quality.quality(docs).where("kept").count() == 84
+    assert {(r["doc_id"], r["source"]) for r in kept.where(docs["text"] == text).collect()} == {(d, s) for d in (1000, None) for s in ("good", None)}
