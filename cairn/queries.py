@@ -576,6 +576,12 @@ def copied_assignment(spark, sf_dir):
     return near.where("cluster_id = 0").select("row_id", "cluster_id", F.col("row_id").alias("kept_row_id"))
 
 
+@_query(BASE + " SELECT row_id, cluster_id, row_id AS kept_row_id FROM ne")
+def copied_assignment_all(spark, sf_dir):
+    """The copy of a whole assignment: every point's row."""
+    return _near(spark, sf_dir).select("row_id", "cluster_id", F.col("row_id").alias("kept_row_id"))
+
+
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return e.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("AbsoluteTime"), F.col("user_id").alias("run"), F.lit(1).alias("Phase"), F.lit(4).alias("Step"), F.col("event_id").cast("int").alias("Loop"))

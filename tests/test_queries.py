@@ -50,6 +50,12 @@ def test_total_distance_skips_only_unassigned_points(spark, tmp_path):
     assert core.queries()["total_distance_all"](spark, sf).first()["total"] == 9 + 200**2
 
 
+def test_copied_assignment_has_every_point(spark, tmp_path):
+    sf = events_of(spark, tmp_path, [0.0, 10.0, 20.0, 30.0, 13.0, 230.0])
+    found = core.queries()["copied_assignment_all"](spark, sf).orderBy("row_id").collect()
+    assert [tuple(r) for r in found] == [(0, 0, 0), (1, 1, 1), (2, 2, 2), (3, 3, 3), (4, 1, 4), (5, 3, 5)]
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
