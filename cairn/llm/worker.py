@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
+from contextlib import contextmanager
 
 _held: tuple[object, object] | None = None
 
@@ -30,3 +31,15 @@ def give_back() -> None:
     gc.collect()
     if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
+
+
+@contextmanager
+def no_collection():
+    """No search for garbage meanwhile: making very many objects that stay would start it over and over."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

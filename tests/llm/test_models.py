@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -122,7 +123,7 @@ def test_random_access(tmp_path, bits):
     with open(tmp_path / "f", "wb") as f:
         w = binpack.Writer(f, bits, block=10)
         for i, d in enumerate(docs):
-            w.add(i, d)
+            w.add(pa.array([i]), d, np.array([len(d)]))
         assert w.close() == (6, 171)
     from pyarrow import OSFile
 
@@ -137,16 +138,52 @@ def test_packed_files(spark):
         listed = binpack.write(frame(spark, ODD), common.new_dir(spark, "t"), WORD_BPE, 49_408, 2, by_word)
         rows = binpack.read(spark, listed).orderBy("doc_id").collect()
         tok, start = Tokenizer.from_file(WORD_BPE), 0
-        tok.encode_special_tokens = True
         for r, t in zip(rows, ODD, strict=True):
             want = tok.encode(t or "", add_special_tokens=False).ids + [2]
             assert np.frombuffer(r["ids"], dtype="<u4").tolist() == want and (r["start"], r["n_tokens"]) == (start, len(want))
             start += len(want)
     empty = frame(spark, ODD).where("false")
     assert binpack.read(spark, binpack.write(empty, common.new_dir(spark, "t"), WORD_BPE, 49_408, 2)).count() == 0
-    odd = spark.createDataFrame([(None, "b"), (2, "a"), (2, "a"), (1, None)], "doc_id long, text string")
+    odd = spark.createDataFrame([(None, "b"), (2, "a"), (2, "a"), (1, None), (-(1 << 63), "c"), (None, None)], "doc_id long, text string")
     rows = binpack.read(spark, binpack.write(odd, common.new_dir(spark, "t"), WORD_BPE, 49_408, 2)).orderBy("start").collect()
-    assert [r["doc_id"] for r in rows] == [None, 1, 2, 2]
+    assert [r["doc_id"] for r in rows] == [None, None, -(1 << 63), 1, 2, 2]
+
+
+def test_many_rows_of_one_doc_id(spark):
+    """They are dealt to several files, and keep their order."""
+    docs = spark.range(4000, numPartitions=4).selectExpr("7L as doc_id", "concat('a', id) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        listed = binpack.write(docs, common.new_dir(spark, "t"), WORD_BPE, 49_408, 2, True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = binpack.read(spark, listed).orderBy("start").collect()
+    tok = Tokenizer.from_file(WORD_BPE)
+    assert len(listed) > 1 and [np.frombuffer(r["ids"], dtype="<u4").tolist() for r in rows] == [tok.encode(f"a{i}", add_special_tokens=False).ids + [2] for i in range(4000)]
+
+
+def test_added_tokens_as_the_library_reads_them():
+    tok = Tokenizer.from_file(WORD_BPE)
+    texts = [f"{a}{t}{b}" for t in ("<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "<|endoftext|><|startoftext|>") for a in ("", " ", "hello ", "Hel", "é", "don't", "x.") for b in ("", " world", "World", "'s", "\0", ", it")]
+    assert binpack.WordEncoder(WORD_BPE, True).encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+def test_simple_words_as_the_library_reads_them():
+    random.seed(5)
+    letters = [chr(c) for c in range(0x21, 0x180) if c not in range(0x7F, 0xA0)] + list("'sStTreEllmMd    ") * 4
+    texts = ["".join(random.choice(letters) for _ in range(random.randint(0, 40))) for _ in range(5000)]
+    tok, words = Tokenizer.from_file(WORD_BPE), binpack.WordEncoder(WORD_BPE, True)
+    assert words.pattern is not None
+    assert words.encode(texts) == [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
+def test_remembered_words_are_dropped_by_halves(monkeypatch):
+    monkeypatch.setattr(binpack, "_REMEMBERED", 40)
+    words, whole = binpack.WordEncoder(WORD_BPE, True), binpack.WordEncoder(WORD_BPE, False)
+    for i in range(60):
+        texts = [f"W{i % 17} a{i}, the b{i}. naïve{i % 5}" for _ in range(3)] + [None]
+        assert words.encode(texts) == whole.encode(texts)
+        assert len(words.known.new) + len(words.known.old) < 120
 
 
 def test_words_alone_are_words_in_texts():
