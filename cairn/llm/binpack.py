@@ -160,7 +160,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
         if by_word:
-            self.known, self.pieces = Recent(_REMEMBERED), Recent(_REMEMBERED)
+            self.known, self.pieces = worker.Recent(_REMEMBERED), worker.Recent(_REMEMBERED)
             self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
             (self.separator,) = np.frombuffer(self._ids([_SEPARATOR])[0], dtype="<u4")
             self.pattern = _plain(json.loads(self.tokenizer.to_str()))
@@ -243,29 +243,6 @@ class WordEncoder:
         return [x.tobytes() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
 
 
-class Recent:
-    """A dict that forgets: when its newer part is full, the older part goes. What is asked for moves to the newer part."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most // 2, {}, {}
-
-    def missing(self, keys) -> list:
-        """Keys, each once, that neither part has; all others are in the newer part from now on."""
-        new, old, out = self.new, self.old, []
-        for k in dict.fromkeys(k for k in keys if k not in new):
-            found = old.get(k)
-            if found is None:
-                out.append(k)
-            else:
-                new[k] = found
-        return out
-
-    def age(self) -> None:
-        """Drops the older part if the newer one is full; between batches, so that none loses what it found."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, {}
-
-
 def _plain(spec: dict):
     """What finds the pieces of a lower-cased simple word, from a tokenizers file's description; None if its steps are others.
 

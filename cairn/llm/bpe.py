@@ -2,10 +2,19 @@
 
 A rank file gives tokens and ranks. Texts are cut by the tokenizer's pattern; each distinct piece of a task's batches
 is encoded once. In DuckDB, pieces are token-position rows. A recursive query joins neighbouring tokens to the merge
-table and contracts, in every piece, the leftmost pair of least rank, until no pair is in the table. Long pieces (over
-LONG bytes) go through a form of the same query that contracts all non-overlapping places of that pair in one step
-where this provably gives the same tokens: the merged token can't start or end a pair of lower rank. A query runs a
-bounded number of steps, so that its accumulated rows stay bounded, and the next goes on with what is left.
+table and contracts, in every piece, the leftmost pair of least rank, until no pair is in the table.
+
+Long pieces (over LONG bytes) are cut into overlapping spans of SPAN bytes, which are pieces for that query, and joined
+at a token that two neighbouring spans agree on. This is exact: a list of tokens is what greedy merging gives if and
+only if it gives each two neighbours back from their own bytes (the first merge across any border would also happen
+between these two alone), and up to the common token all neighbours are those of one span, from it on those of the
+other. Where two spans agree on no token, as in periodic text, longer spans follow each other, each beginning where a
+token of the one before begins. If even these disagree, the whole piece goes through a form of the query that contracts
+all non-overlapping places of the least pair in one step where this provably gives the same tokens: the merged token
+can't start or end a pair of lower rank. So time and memory grow in proportion to a piece's length but for the last case.
+
+A query takes at most PIECES pieces and about BYTES bytes and runs a bounded number of steps, so that its accumulated
+rows stay bounded; the next goes on with what is left.
 """
 
 from __future__ import annotations
@@ -23,12 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from cairn.llm import worker
 from cairn.llm.common import bounded_batches, tidy
 
-#: Pieces encoded by one recursive query, and the bytes from which a piece is long.
-PIECES, LONG = 20_000, 48
+#: Pieces encoded by one recursive query, their bytes, and the bytes from which a piece is long.
+PIECES, BYTES, LONG = 20_000, 400_000, 64
+#: Bytes of a span of a long piece; each begins half a span after the one before. Bytes of a span in periodic text.
+SPAN, FOLLOWING = 64, 1024
 #: Accumulated rows of one recursive query, about.
 _ROWS = 2_000_000
-#: Encoded pieces that a Python worker remembers, and their bytes.
-_REMEMBERED, _REMEMBERED_BYTES = 300_000, 32_000_000
+#: Encoded pieces that a Python worker remembers; longer ones than _SHORT bytes are forgotten after their batch.
+_REMEMBERED, _SHORT = 600_000, 200
 #: Tokens decoded by one query.
 _DECODED = 500_000
 
@@ -73,8 +84,9 @@ class Bpe:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
-        self.known_bytes = 0
+        self.known = worker.Recent(_REMEMBERED)
+        self.length = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.length[list(ranks.values())] = [len(t) for t in ranks]
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         rows = [(ranks[t[:i]], ranks[t[i:]], rank) for t, rank in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         l, r, m = np.array(rows, dtype=np.int64).reshape(-1, 3).T
@@ -100,36 +112,87 @@ class Bpe:
         order = np.argsort(pos, kind="stable")
         return pos[order], tok[order]
 
+    def _encode(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct pieces, in queries of bounded size."""
+        out = {}
+        for long in (False, True):
+            some, held = [], 0
+            for b in [*(b for b in parts if (len(b) > LONG) == long), None]:
+                if some and (b is None or len(some) == PIECES or held + len(b) > BYTES):
+                    ends = np.cumsum([len(x) for x in some])
+                    tokens = self.byte[np.frombuffer(b"".join(some), dtype=np.uint8)]
+                    words = np.repeat(np.arange(len(some), dtype=np.int32), np.diff(ends, prepend=0))
+                    pos, tok = self._contract(pa.table({"w": words, "pos": np.arange(len(tokens), dtype=np.int32), "tok": tokens}), _LONG_STEP if long else _SHORT_STEP)
+                    cut = np.searchsorted(pos, ends).tolist()
+                    flat = tok.astype("<u4").tobytes()
+                    out.update((x, flat[4 * start : 4 * end]) for x, start, end in zip(some, [0, *cut[:-1]], cut))
+                    some, held = [], 0
+                if b is not None:
+                    some.append(b)
+                    held += len(b)
+        return out
+
+    def _tokens(self, at: int, ids: bytes) -> tuple[list[int], list[int], list[int]]:
+        """Tokens, their first places and their ends, of a span that begins at `at`."""
+        tokens = np.frombuffer(ids, dtype="<u4")
+        ends = at + np.cumsum(self.length[tokens])
+        return tokens.tolist(), [at, *ends[:-1].tolist()], ends.tolist()
+
+    def _joined(self, spans) -> bytes | None:
+        """The tokens of overlapping spans (first place, ids), joined at common ones; None where two have none in common."""
+        out, skip, last = [], 0, None
+        for at, ids in spans:
+            now = self._tokens(at, ids)
+            if last is not None:
+                places = {start: (end, i) for i, (start, end) in enumerate(zip(last[1], last[2])) if start >= at}
+                common = next(((places[s][1], j) for j, (s, e) in enumerate(zip(now[1], now[2])) if places.get(s, (None,))[0] == e), None)
+                if common is None:
+                    return None
+                out += last[0][skip : common[0]]
+                skip = common[1]
+            last = now
+        return np.array(out + last[0][skip:], dtype="<u4").tobytes()
+
+    def _following(self, raw: bytes):
+        """Spans that each begin at the first token of the one before in its second half; equal ones are encoded once."""
+        known, at = {}, 0
+        while True:
+            span = raw[at : at + FOLLOWING]
+            if span not in known:
+                if len(known) == PIECES:
+                    known.clear()
+                known |= self._encode([span])
+            yield at, known[span]
+            if at + FOLLOWING >= len(raw):
+                return
+            at = next(s for s in self._tokens(at, known[span])[1] if s >= at + FOLLOWING // 2)
+
     def _learn(self, pieces: list[str]) -> None:
         raw = [p.encode() for p in pieces]
-        for long in (False, True):
-            own = [(p, b) for p, b in zip(pieces, raw) if (len(b) > LONG) == long]
-            for i in range(0, len(own), PIECES):
-                some = own[i : i + PIECES]
-                ends = np.cumsum([len(b) for _, b in some])
-                tokens = self.byte[np.frombuffer(b"".join(b for _, b in some), dtype=np.uint8)]
-                words = np.repeat(np.arange(len(some), dtype=np.int32), np.diff(ends, prepend=0))
-                pos, tok = self._contract(pa.table({"w": words, "pos": np.arange(len(tokens), dtype=np.int32), "tok": tokens}), _LONG_STEP if long else _SHORT_STEP)
-                cut = np.searchsorted(pos, ends)
-                flat = tok.astype("<u4").tobytes()
-                for (p, b), start, end in zip(some, np.concatenate([[0], cut[:-1]]).tolist(), cut.tolist()):
-                    self.known[p] = flat[4 * start : 4 * end]
-                    self.known_bytes += len(b)
+        places = {b: range(0, len(b) - SPAN // 2, SPAN // 2) for b in raw if len(b) > LONG}
+        parts = dict.fromkeys(b for b in raw if len(b) <= LONG)
+        for b, starts in places.items():
+            parts.update(dict.fromkeys(b[i : i + SPAN] for i in starts))
+        ids = self._encode(list(parts))
+        for b, starts in places.items():
+            joined = self._joined((i, ids[b[i : i + SPAN]]) for i in starts)
+            joined = self._joined(self._following(b)) if joined is None else joined
+            ids[b] = self._encode([b])[b] if joined is None else joined
+        self.known.new.update(zip(pieces, map(ids.__getitem__, raw)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.known) > _REMEMBERED or self.known_bytes > _REMEMBERED_BYTES:
-            self.known.clear()
-            self.known_bytes = 0
-        known = self.known
-        cut = [self.pattern.findall(t) for t in texts]
-        found = [list(map(known.get, pieces)) for pieces in cut]
-        new: dict[str, None] = {}
-        for pieces, ids in zip(cut, found):
-            if None in ids:
-                new.update(dict.fromkeys([p for p, x in zip(pieces, ids) if x is None]))
-        self._learn(list(new))
-        return [b"".join([known[p] if x is None else x for p, x in zip(pieces, ids)] if None in ids else ids) for pieces, ids in zip(cut, found)]
+        with worker.no_collection():
+            self.known.age()
+            known, cut = self.known.new, [self.pattern.findall(t) for t in texts]
+            found = [list(map(known.get, pieces)) for pieces in cut]
+            new = self.known.missing(p for pieces, ids in zip(cut, found) if None in ids for p, x in zip(pieces, ids) if x is None)
+            self._learn(new)
+            out = [b"".join([known[p] if x is None else x for p, x in zip(pieces, ids)] if None in ids else ids) for pieces, ids in zip(cut, found)]
+            for p in new:
+                if len(p) > _SHORT:
+                    del known[p]
+        return out
 
     def decode(self, ids: list[bytes]) -> Iterator[bytes]:
         """The bytes that each list of ids stands for."""

@@ -21,8 +21,8 @@ from cairn.llm.shingles import U, mix
 DIM = 1024
 #: Cosine below which keep() rejects a document: text in no learned language stays below it, prose of 50 words far above.
 MIN_SCORE = 0.3
-#: Documents bundled at once, and trigrams bound at once.
-_BLOCK, _GRAMS = 128, 4096
+#: Documents bundled at once, their characters (one longer text is alone), and trigrams bound at once.
+_BLOCK, _CHARS, _GRAMS = 128, 500_000, 4096
 
 _letter = None
 
@@ -73,8 +73,18 @@ def bundles(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return total, np.array(lengths) > 0
 
 
-def _blocks(column) -> list:
-    return [column.slice(i, _BLOCK).to_pylist() for i in range(0, len(column), _BLOCK)]
+def _blocks(column):
+    block, held = [], 0
+    for i in range(0, len(column), _BLOCK):
+        for text in column.slice(i, _BLOCK).to_pylist():
+            n = len(text or "")
+            if block and (len(block) == _BLOCK or held + n > _CHARS):
+                yield block
+                block, held = [], 0
+            block.append(text)
+            held += n
+    if block:
+        yield block
 
 
 def _sums(batches):

@@ -28,6 +28,38 @@ def test_language_held_out_accuracy(spark):
     assert len(found) > 200 and sum(r["lang"] == r["lang_pred"] for r in found) >= 0.98 * len(found)
 
 
+def test_language_profiles_by_hand(spark):
+    """Letter by letter: rotate, multiply, add, and the cosine with sums of the learned texts' vectors."""
+    words = {"en": "the cat and dog sat on a mat in old town by sea".split(), "fr": "le chat et un chien sur une natte dans la vieille ville".split()}
+    random.seed(8)
+    rows = [(i, " ".join(random.choices(words[lang], k=random.choice((1, 3, 30, 60)))) + random.choice(("", "!", " 12", "\n\n")), lang if i % 5 else None) for i in range(80) for lang in [random.choice(["en", "fr"])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def vector(text):
+        text = "".join(c if c.isalpha() else " " for c in text.lower())
+        text, counts = " " + " ".join(text.split()) + " ", {}
+        for i in range(len(text) - 2):
+            if text[i + 1] != " ":
+                counts[text[i : i + 3]] = counts.get(text[i : i + 3], 0) + 1
+        total = [0] * langid.DIM
+        for gram, n in counts.items():
+            a, b, c = (langid._vectors(np.array([0 if x == " " else ord(x)]))[0].astype(int).tolist() for x in gram)
+            for i in range(langid.DIM):
+                total[i] += a[i - 2] * b[i - 1] * c[i] * (1 + int(np.log2(n)))
+        return np.array(total, dtype=float)
+
+    learned = {}
+    for i, text, lang in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            learned[lang] = learned.get(lang, 0) + vector(text)
+    found = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    for i, text, _ in rows:
+        v = vector(text)
+        cosines = {k: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for k, p in learned.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert found[i]["lang_pred"] == best and found[i]["score"] == pytest.approx(max(0.0, cosines[best]))
+
+
 def test_language_of_odd_texts(spark):
     docs = spark.createDataFrame(
         [(0, "the cat and the dog", "en", 1), (1, "le chat et le chien", "fr", 1), (3, None, "en", 1), (4, "", None, 1), (5, "123 !?", "fr", 1), (6, "the the", None, 1), (None, "le", None, 1), (7, "the " * 50_000, "en", 1), (7, "the " * 50_000, "en", 1)],
@@ -92,6 +124,25 @@ def test_bpe_against_the_library(reference):
         list(b.decode([np.array([60_000], dtype="<u4").tobytes()]))
 
 
+def test_bpe_of_long_pieces(reference):
+    """Random letters, few letters, runs, and text of any script without blanks: in spans, spans that follow, and whole."""
+    random.seed(6)
+    b = bpe.Bpe(bpe.read_ranks(RANKS), PATTERN)
+    some = ["abcdefghijklmnopqrstuvwxyz", "etaoin", "ACGT", "ABab", "\u4e00\u4e8c\u4e09\u00e9", "=", "ab", "01", " ", "-=", "\n"]
+    texts = ["".join(random.choices(x, k=n)) for x in some for n in (63, 64, 65, 95, 96, 97, 128, 1024, 1025, 20_000)]
+    texts += ["ab" * 20_000 + "".join(random.choices("ab", k=3000)) + "-" * 5000 + "=" * 5000 + "-=" * 700, "the" * 5000 + "operation" * 3000, "a" * 1_000_000]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in b.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+    assert all(len(p) <= bpe._SHORT for p in b.known.new)
+
+
+def test_bpe_without_a_common_token(reference, monkeypatch):
+    """Whole pieces, where spans and spans that follow disagree."""
+    b = bpe.Bpe(bpe.read_ranks(RANKS), PATTERN)
+    monkeypatch.setattr(b, "_joined", lambda spans: None)
+    texts = ["a" * 500, "ACGT" * 30, "operationsofthe" * 10]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in b.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_bpe_in_bounded_steps(reference, monkeypatch):
     monkeypatch.setattr(bpe, "_ROWS", 1)
     b = bpe.Bpe(bpe.read_ranks(RANKS), PATTERN)
