@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_ROWS, cut, join_sized, tidy
+from cairn.llm.common import BROADCAST_ROWS, cut, join_sized, tidy, wrapped
 
 WEIGHTS, SHARE_PERCENT, MOST = (3, 1, 2), 150, 2
 #: Words in a block.
@@ -56,7 +56,7 @@ def needs(t: DataFrame, block: int) -> DataFrame:
 
 
 def schedule(needed: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The slots that are in use: slot, rank (the source's), block, words (how many of the block's are taken)."""
+    """The slots that are in use: slot, rank (the source's), block, words (how many of the block's are taken), pass (through the stream)."""
     spark = needed.sparkSession
     total, n = needed.agg(F.sum("slots"), F.count("*")).first()
     bits = max(1, ((total or 0) - 1).bit_length())
@@ -75,7 +75,9 @@ def schedule(needed: DataFrame, block: int = BLOCK) -> DataFrame:
     nth = F.row_number().over(W.partitionBy("rank", "chunk").orderBy("slot")) - 1
     slots = slots.withColumn("nth", nth).join(before, ["rank", "chunk"]).withColumn("nth", F.col("nth") + F.col("before"))
     last = (F.col("nth") == F.col("slots") - 1) & (F.col("end_words") > 0)
-    return slots.select("slot", "rank", F.pmod("nth", "blocks").alias("block"), F.when(last, F.col("end_words")).otherwise(block).alias("words"))
+    return slots.select(
+        "slot", "rank", F.pmod("nth", "blocks").alias("block"), F.when(last, F.col("end_words")).otherwise(block).alias("words"), F.floor(F.col("nth") / F.col("blocks")).alias("pass")
+    )
 
 
 def streams(sized: DataFrame) -> DataFrame:
@@ -95,40 +97,65 @@ def size_of(text: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """How many words of each document the mix takes, repeats counted.
+    """How many words of each document the mix takes, repeats counted, and where in the schedule it begins to.
 
     Takes doc_id, text and source; other columns are not read. Returns a row per input row: doc_id, size, source_size,
-    target (the source's), taken. A null or empty text has size 0 and nothing of it is taken. Documents with a null
-    source are one source, the last. A source's taken words are its target rounded to a whole word; no document exceeds
-    `most` times its size. Repeated rows are documents of their own; ties in the shuffled order go by doc_id, then size.
-    Reruns agree. An empty table gives no rows.
+    target (the source's), taken, first_slot (the first slot that takes a word of it; null if none does). A null or
+    empty text has size 0 and nothing of it is taken. Documents with a null source are one source, the last. A source's
+    taken words are its target rounded to a whole word; no document exceeds `most` times its size. Repeated rows are
+    documents of their own; ties in the shuffled order go by doc_id, then size. Reruns agree. An empty table gives no
+    rows.
     """
-    sized = tidy(docs, "doc_id", "text", "source").select("doc_id", "source", size_of(F.col("text")).alias("size"))
+    out = _mixed(docs, weights, share_percent, most, block)
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.array_min("slots").alias("first_slot"))
+
+
+def _mixed(docs: DataFrame, weights, share_percent: int, most: int, block: int) -> DataFrame:
+    """mix() with source, text_hash and slots: the first slot of each pass through the stream that takes a word of the row."""
+    sized = tidy(docs, "doc_id", "text", "source").select("doc_id", "source", F.xxhash64("text").alias("text_hash"), size_of(F.col("text")).alias("size"))
     sized = cut(sized).withColumn("row", F.monotonically_increasing_id())
     needed = cut(needs(targets(sized, weights, share_percent, most), block))
-    ranked = join_sized(sized, needed.select("source", "rank", "source_size", "target"), "source", "left", salt="row").drop("source")
+    ranked = join_sized(sized, needed.select("source", "rank", "source_size", "target"), "source", "left", salt="row")
     first, final = F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block)
     pieces = streams(ranked).withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, final))))
-    used = schedule(needed, block).select("rank", "block", "words")
+    used = schedule(needed, block).select("rank", "block", "words", "slot", "pass")
     at = F.col("begin") - F.col("block") * block
     # no slot, no words: least() would skip the null
     overlap = F.greatest(F.least(at + F.col("size"), F.coalesce("words", F.lit(0))) - F.greatest(at, F.lit(0)), F.lit(0))
-    taken = pieces.join(used, ["rank", "block"], "left")
-    return taken.groupBy("row", "doc_id", "size", "source_size", "target").agg(F.sum(F.coalesce(overlap, F.lit(0))).cast("long").alias("taken")).drop("row")
-
+    taken = pieces.join(used, ["rank", "block"], "left").withColumn("overlap", overlap)
+    at_pass = [F.min(F.when((F.col("pass") == p) & (F.col("overlap") > 0), F.col("slot"))) for p in range(most)]
+    by = taken.groupBy("row", "doc_id", "source", "text_hash", "size", "source_size", "target")
+    return by.agg(F.coalesce(F.sum("overlap"), F.lit(0)).cast("long").alias("taken"), F.array(*at_pass).alias("slots"))
 
 
 def apply(docs: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERCENT, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """The rows of docs, all columns, each as often as the mix takes its words, rounded to whole documents (0 to `most` times).
+    """The mixed corpus: rows of docs, all columns, each as often as the mix takes its words, rounded to whole documents.
 
-    Documents without words are not taken. Of rows that share a doc_id the largest number holds for all.
+    Rows stand in the order of the schedule, each copy at the first slot of its pass: partitions hold ranges of slots
+    in rising order and are sorted. Documents without words are not taken. Rows that are equal in doc_id, source and
+    text share their copies: each gets as many, and what is left goes to one of them.
     """
-    taken = mix(docs, weights, share_percent, most, block)
-    copies = taken.select("doc_id", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).otherwise(0).cast("int").alias("copies"))
-    copies = cut(copies.groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies")).where("__copies <> 1"))
-    side = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    found = docs.join(side, docs["doc_id"].eqNullSafe(side["__id"]), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1))).where("__copies > 0")
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    m = _mixed(docs, weights, share_percent, most, block)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + 0.5)).otherwise(0).cast("long")
+    m = m.select(F.struct("doc_id", "source", "text_hash").alias("same"), copies.alias("copies"), *(F.get("slots", F.lit(p)).alias(f"s{p}") for p in range(most)))
+    by = m.groupBy("same").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"), F.array_compact(F.array(*(F.min(f"s{p}") for p in range(most)))).alias("slots"))
+    by = cut(by.where("copies > 0"))
+    last = (by.agg(F.max(F.array_max("slots"))).first()[0] or 0) + 1
+    row = F.col("row")
+    rows = wrapped(docs).withColumn("same", F.struct(row["doc_id"].alias("doc_id"), row["source"].alias("source"), F.xxhash64(row["text"]).alias("text_hash")))
+    rows = join_sized(rows, by, "same", "inner")
+    each = rows.withColumn("times", F.floor(F.col("copies") / F.col("n")))
+    repeated = by.where("n > 1 and copies % n > 0")
+    if not repeated.isEmpty():
+        one = rows.where("n > 1 and copies % n > 0").dropDuplicates(["same"])
+        each = each.unionByName(one.withColumn("times", F.col("copies") % F.col("n")))
+    each = each.where("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    slot = F.coalesce(F.get("slots", (F.col("copy") - 1).cast("int")), F.element_at("slots", -1))
+    # slots are spread evenly over the schedule, so equal ranges of them are equal shares of the rows
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = each.select("row", slot.alias("slot"), F.col("same.text_hash").alias("tie"))
+    ordered = each.repartitionById(parts, F.floor(F.col("slot") * parts / F.lit(last)).cast("int")).sortWithinPartitions("slot", "tie")
+    return ordered.select("row.*")
 
 
 SQL = r"""
@@ -138,12 +165,24 @@ w AS (SELECT *, [3, 1, 2][(rank - 1) % 3 + 1] AS weight, (source_size * 2)::DOUB
 l AS (
   SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE * 150 / 100 - (sum(source_size * 2) OVER (ORDER BY cap, rank ROWS UNBOUNDED PRECEDING) - source_size * 2))::DOUBLE
          / sum(weight) OVER (ORDER BY cap, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least((source_size * 2)::DOUBLE, coalesce((SELECT level FROM l WHERE level <= cap ORDER BY cap, rank LIMIT 1) * weight, (source_size * 2)::DOUBLE)) AS target FROM w),
+t AS (SELECT source, rank, source_size, least((source_size * 2)::DOUBLE, coalesce((SELECT level FROM l WHERE level <= cap ORDER BY cap, rank LIMIT 1) * weight, (source_size * 2)::DOUBLE)) AS target FROM w),
 p AS (
-  SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS goal,
+  SELECT d.*, t.source_size, t.target, t.rank,
          sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size, rid ROWS UNBOUNDED PRECEDING) - size AS b
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE size * (goal // source_size) + greatest(least(b + size, goal % source_size) - b, 0) END::BIGINT AS taken
-FROM p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT rank, (source_size + 511) // 512 AS blocks, source_size, least(round(target)::BIGINT, ceil(target)::BIGINT) AS goal FROM t WHERE source_size > 0),
+q AS (SELECT *, goal // source_size AS passes, goal % source_size AS rest FROM g),
+n AS (SELECT *, passes * blocks + (rest + 511) // 512 AS slots, CASE WHEN rest > 0 THEN rest - ((rest + 511) // 512 - 1) * 512 ELSE 0 END AS end_words FROM q),
+span AS (SELECT *, sum(slots) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) AS hi, sum(slots) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING) - slots AS lo FROM n),
+bits AS (SELECT greatest(1, length(ltrim(bin(greatest(max(hi) - 1, 1)::BIGINT), '0')))::INTEGER AS k FROM span),
+points AS (SELECT i AS slot, list_sum(list_transform(range(k), lambda j: ((i >> j) & 1) << (k - 1 - j)))::BIGINT AS point FROM bits, range((1::BIGINT << (SELECT k FROM bits))) r(i)),
+used AS (
+  SELECT slot, rank, nth % blocks AS block, CASE WHEN nth = slots - 1 AND end_words > 0 THEN end_words ELSE 512 END AS words
+  FROM (SELECT slot, span.*, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS nth FROM points JOIN span ON lo <= point AND point < hi)),
+x AS (
+  SELECT p.rid, slot, greatest(least(b + size - block * 512, words) - greatest(b - block * 512, 0), 0) AS overlap
+  FROM (SELECT *, unnest(range((b // 512)::BIGINT, ((b + size - 1) // 512 + 1)::BIGINT)) AS blk FROM p WHERE size > 0) p JOIN used ON used.rank = p.rank AND block = blk),
+s2 AS (SELECT rid, sum(overlap) AS taken, min(slot) FILTER (overlap > 0) AS first_slot FROM x GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot::BIGINT AS first_slot
+FROM p LEFT JOIN s2 USING (rid)
 """
