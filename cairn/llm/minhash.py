@@ -4,9 +4,10 @@ A document's set holds its distinct shingles of `size` lower-cased words. Equal
 copies cost one row from there on. Every class gets a signature of CHUNKS * WIDTH MinHash values of BITS bits. Two
 signatures that differ in at most CHUNKS * (ERRORS + 1) - 1 values agree, by pigeonhole, in some chunk up to ERRORS
 values; each chunk therefore enumerates its allowed errors as keys with ERRORS values left out, and classes that share
-a key meet. Classes joined by shared keys make candidate groups. In these every pair whose signatures differ in at
-most REACH values is confirmed by the exact similarity of the whole sets, tile against tile, and the confirmed links
-give the components. A task holds two tiles of TILE shingles; it returns local spanning links, never all pairs.
+a key meet. Classes joined by shared keys make candidate groups. Within these, every pair that shares a key, and no
+other, is confirmed by the exact similarity of the whole sets, tile against tile, and the confirmed links give the
+components; so which pairs count depends on the two texts alone. At similarity 0.85 a pair shares no key with a
+probability of about 6e-6. A task holds two tiles of TILE shingles; it returns local spanning links, never all pairs.
 """
 
 from __future__ import annotations
@@ -22,10 +23,8 @@ from cairn.llm import worker
 from cairn.llm.common import BROADCAST_ROWS, bounded_batches, components, cut, join_sized, tidy
 from cairn.llm.shingles import U, mix, shingle_set
 
-CHUNKS, WIDTH, ERRORS, BITS = 6, 6, 1, 16
-#: Guaranteed to meet; at similarity 0.85 a pair differs in more than 18 of 36 values with probability below 1e-7.
-REACH = 18
-#: Shingles a tile holds on average, and the tiles up to which a candidate group is compared as a whole.
+CHUNKS, WIDTH, ERRORS, BITS = 8, 6, 1, 16
+#: Shingles a tile holds on average, and the tiles above which a candidate group is compared key by key, with equal results.
 TILE, MOST_TILES = 200_000, 36
 
 
@@ -103,6 +102,11 @@ def _sets(size: int):
     return run
 
 
+def _meet(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which signatures share a key with another one: those with at most ERRORS other values in some chunk."""
+    return ((sig != other).reshape(len(sig), CHUNKS, WIDTH).sum(axis=2, dtype=np.uint8) <= ERRORS).any(axis=1)
+
+
 _SETS = pa.schema([("group_id", pa.int64()), ("tiles", pa.int64()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
 
 
@@ -124,7 +128,7 @@ def _confirm(percent: int):
         for i in np.flatnonzero(tile == tile_i):
             rest = second[second > i] if tile_i == tile_j else second
             rest = rest[(root[rest] != root[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
-            rest = rest[(sig[rest] != sig[i]).sum(axis=1) <= REACH] if len(rest) else rest
+            rest = rest[_meet(sig[rest], sig[i])] if len(rest) else rest
             if not len(rest):
                 continue
             own = flat[starts[i] : starts[i + 1]]
@@ -174,7 +178,8 @@ def _units(groups: DataFrame, sets: DataFrame, keyed: DataFrame, shared: DataFra
     """What is compared with what: rep, group_id, tiles.
 
     A unit is a candidate group. A group of more than MOST_TILES tiles, which chance meetings can chain together, is
-    taken apart into its keys' members instead: these meet all the same, and a member is dealt at most once a key.
+    taken apart into its keys' members instead, so that a member is dealt at most once a key. Either way exactly the
+    pairs that share a key are compared.
     """
     found = cut(groups.join(sets.select("rep", "n_shingles"), groups["node"] == F.col("rep")).select("rep", F.col("component_id").alias("group_id"), "n_shingles"))
     count = F.ceil(F.sum("n_shingles") / F.lit(tile)).alias("tiles")
