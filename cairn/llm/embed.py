@@ -7,7 +7,8 @@ from quantiles of a bounded sample split the block's coordinates, a vector goes
 whose other cell lies within the budget's radius, and a task compares the two sides of a cell pair block by block in
 numpy. The union of the blocks' candidates is verified by the exact cosine. A link is counted in the first block whose
 budget it keeps, so that no pair is written down to remove repeats: a task returns sums of links and local spanning
-edges. Cells of more than twice TILE vectors are dealt into tiles, and tile pairs to tasks.
+edges. Cells of more than two tiles' vectors are dealt into tiles, and tile pairs to tasks. A tile is as many vectors
+as TILE_BYTES holds in double precision: the larger a tile, the fewer copies of a vector travel.
 
 Exact copies are one row with a count. Every vector is indexed; the sample only places cell borders.
 """
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from cairn.llm.common import components, cut, join_sized
 
 THRESHOLD, BLOCKS = 0.9, 8
-#: Vectors a cell holds on average, and those whose coordinates place the cells' borders.
-TILE, SAMPLE = 16_384, 4096
+#: Bytes of double-precision vectors that a cell holds on average, and how many vectors' coordinates place the cells' borders.
+TILE_BYTES, SAMPLE = 32 << 20, 4096
+#: Bytes of vectors that may be broadcast.
+_BROADCAST_BYTES = 16 << 20
 _ROWS, _SLACK = 256, 1e-6
 
 
@@ -169,7 +172,7 @@ def _compare(grid: Grid, kind: str, threshold: float):
                 near[:, : len(rows)] &= np.triu(np.ones((len(rows),) * 2, dtype=bool), 1)
             i, j = np.divmod(np.flatnonzero(near), len(cols))
             if 50 * len(i) > near.size:  # many: whole products are faster than picking rows
-                near &= u[rows] @ u[cols].T >= threshold
+                near &= u[rows] @ u[cols].T >= threshold - _SLACK  # the sum below decides, as it does for few
                 i, j = np.nonzero(near)
             for at in range(0, len(i), 100_000):
                 a, b = rows[i[at : at + 100_000]], cols[j[at : at + 100_000]]
@@ -197,7 +200,9 @@ def _linked(sets: DataFrame, dim: int, kind: str, threshold: float, blocks: int,
     """Sums of links and spanning edges among the distinct vectors of one dimension."""
     grid, n = Grid(dim, threshold, blocks), sets.count()
     share = min(1.0, SAMPLE / max(1, n))
-    sample = sets.where(F.pmod(F.xxhash64("raw"), F.lit(1_000_000)) < int(share * 1_000_000)).select("raw").collect()
+    # distinct vectors, so that a hash of the bytes draws about SAMPLE of them at any size
+    draw = F.shiftrightunsigned(F.xxhash64("raw"), 1) < int(share * (1 << 63)) if share < 1 else F.lit(True)
+    sample = sets.where(draw).select("raw").collect()
     grid.place(_matrix([bytes(r["raw"]) for r in sample], kind).reshape(len(sample), dim), -(-n // tile))
     dealt = sets.select("rep", "copies", "raw").mapInArrow(_deal(grid, kind), "block int, lo long, hi long, high boolean, rep long, copies long, raw binary")
     own = F.when(F.col("high"), F.col("hi")).otherwise(F.col("lo"))
@@ -217,8 +222,8 @@ def _linked(sets: DataFrame, dim: int, kind: str, threshold: float, blocks: int,
     return dealt.groupBy("block", "lo", "hi", "tile_lo", "tile_hi").applyInArrow(_compare(grid, kind, threshold), "a long, b long, links long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, tile: int = TILE) -> DataFrame:
-    """Links vectors with cosine >= threshold.
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: int = BLOCKS, tile: int | None = None) -> DataFrame:
+    """Links vectors with cosine >= threshold. tile: vectors a cell holds on average, if not what TILE_BYTES holds.
 
     Takes vec_id and embedding (array of float or double); other columns, labels too, are not read. Returns a row per
     input row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id reachable by links, itself
@@ -236,7 +241,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     sets = cut(own.groupBy("raw").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", (F.length("raw") / int(kind[-1])).cast("int")))
     found = None
     for (dim,) in sets.select("dim").distinct().collect():  # a handful of dimensions
-        part = cut(_linked(sets.where(F.col("dim") == dim), dim, kind, threshold, blocks, tile))
+        part = cut(_linked(sets.where(F.col("dim") == dim), dim, kind, threshold, blocks, tile or max(1, TILE_BYTES // (8 * dim))))
         found = part if found is None else found.union(part)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -247,7 +252,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, blocks: in
     # only what isn't a vector alone needs to be joined back
     state = cut(state.where("n_links > 0"))
     bytes_of = rows.mapInArrow(_all_raw(wide), "vec_id long, raw binary")
-    out = join_sized(bytes_of, state.drop("rep"), "raw", salt="vec_id")
+    widest = sets.agg(F.max(F.length("raw"))).first()[0] + 32
+    out = join_sized(bytes_of, state.drop("rep"), "raw", limit=_BROADCAST_BYTES // widest, salt="vec_id")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
