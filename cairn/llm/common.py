@@ -41,9 +41,11 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local tests)."""
+    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="cairn-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -63,6 +65,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def wrapped(df: DataFrame) -> DataFrame:
+    """The rows as one struct column, `row`, so that no column of theirs can clash with others; row.* gives them back."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def tidy(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that columns beyond them cannot clash."""
     return df.select(*(F.col(f"`{n}`") for n in names))

@@ -1,7 +1,7 @@
 """Quality rules of documents and of their hosts, in DataFrame functions only.
 
 Document rules: too few words, or more than half of the words in repeated 3-word windows (the base rules); a share of
-symbols, of repeated lines, or a mean word length out of range (the further rules). A host's failures are its documents
+symbols, of repeated lines among the lines with a word, or a mean word length out of range (the further rules). A host's failures are its documents
 that fail any rule. Hosts get a beta prior fitted to all hosts by the method of moments; a host's failure rate is the
 mean of its beta posterior, so that a host with few documents leans on the rest. A document is kept if it passes the
 base rules and its host's rate is at most `host_limit`.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import BROADCAST_ROWS, SPACE, SPACE_CHARS, cut, join_sized, let, tidy, words
+from cairn.llm.common import BROADCAST_ROWS, SALTS, SPACE, SPACE_CHARS, cut, join_sized, let, tidy, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -46,19 +46,20 @@ def repeated_words(w: Column, size: int = 3) -> Column:
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, source, a hash of the text, and the word, symbol, line and repetition counts of every whole text (null text: no words)."""
+    """doc_id, source, and the word, symbol, line and repetition counts of every whole text (null text: no words)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(SPACE_CHARS)) != "")
     counted = docs.select(
         "doc_id",
         "source",
-        F.xxhash64("text").alias("text_hash"),
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("l"),
         let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"))).alias("w"),
     )
-    return counted.select("doc_id", "source", "text_hash", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("w.r").alias("n_repeat_words"))
+    return counted.select(
+        "doc_id", "source", F.col("w.n").alias("n_words"), "word_chars", "n_symbols", F.col("l.n").alias("n_lines"), F.col("l.d").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words")
+    )
 
 
 def hosts(measured: DataFrame) -> DataFrame:
@@ -89,24 +90,38 @@ def quality(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
 
 
 def keep(docs: DataFrame, host_limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of docs, all columns, that quality() keeps; texts are not shuffled unless very many rows are rejected."""
-    rejected = _judged(docs, host_limit).where(~F.col("kept"))
-    rejected = cut(rejected.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash")).distinct())
-    side = F.broadcast(rejected) if rejected.count() <= BROADCAST_ROWS else rejected
-    same = docs["doc_id"].eqNullSafe(side["__id"]) & docs["source"].eqNullSafe(side["__source"]) & (F.xxhash64(docs["text"]) == side["__hash"])
-    return docs.join(side, same, "left_anti")
-
+    """The rows of docs, all columns, that quality() keeps.
 
-def _judged(docs: DataFrame, host_limit: float) -> DataFrame:
+    Base rules are tested again on each row, and hosts' verdicts are joined by source, so that texts are not shuffled
+    for the rejected rows' sake, however many these are.
+    """
+    verdicts = hosts(_failures(docs)).select("source", (F.col("host_rate") > host_limit).alias("host_rejected"))
+    rejected = cut(verdicts.where("host_rejected").select("source"))
+    if rejected.count() <= BROADCAST_ROWS:
+        out = docs.join(F.broadcast(rejected), docs["source"].eqNullSafe(rejected["source"]), "left_anti")
+    else:  # a host's rows are dealt to SALTS tasks by their texts
+        shares = rejected.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        share = F.pmod(F.xxhash64(docs["text"]), F.lit(SALTS)).cast("int")
+        out = docs.join(shares, docs["source"].eqNullSafe(shares["source"]) & (share == shares["share"]), "left_anti")
+    failed = let(words(docs["text"]), lambda w: F.when(F.size(w) < MIN_WORDS, True).otherwise(100 * repeated_words(w) > MAX_REPEAT_PERCENT * F.size(w)))
+    return out.where(~failed)
+
+
+def _failures(docs: DataFrame) -> DataFrame:
+    """measures() with base_failed and failed (any rule), cut."""
     m = measures(tidy(docs, "doc_id", "text", "source"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     further = (
         (100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars"))
-        | (100 * F.col("n_dup_lines") > MAX_DUP_LINES_PERCENT * F.col("n_words"))
+        | (100 * F.col("n_dup_lines") > MAX_DUP_LINES_PERCENT * F.col("n_lines"))
         | (F.col("word_chars") < MIN_MEAN_WORD * F.col("n_words"))
         | (F.col("word_chars") > MAX_MEAN_WORD * F.col("n_words"))
     )
-    m = cut(m.withColumn("base_failed", base).withColumn("failed", F.col("base_failed") | further))
+    return cut(m.withColumn("base_failed", base).withColumn("failed", F.col("base_failed") | further))
+
+
+def _judged(docs: DataFrame, host_limit: float) -> DataFrame:
+    m = _failures(docs)
     verdicts = hosts(m).select("source", "host_docs", "host_failures", (F.col("host_rate") > host_limit).alias("host_rejected"))
     out = join_sized(m, cut(verdicts), "source", salt="doc_id")
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
@@ -123,15 +138,15 @@ win AS (
 hit AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM win) WHERE c > 1),
 rep AS (SELECT rid, count(DISTINCT i + d) AS r FROM hit, range(3) AS o(d) GROUP BY rid),
 lines AS (
-  SELECT rid, count(*) - count(DISTINCT l) AS d
+  SELECT rid, count(*) AS nl, count(*) - count(DISTINCT l) AS d
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM w) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid),
 m AS (
   SELECT w.rid, doc_id, source, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
-         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(d, 0)::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(nl, 0)::BIGINT AS n_lines, coalesce(d, 0)::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (rid) LEFT JOIN lines USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 f AS (
-  SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_words OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS failed FROM b),
+  SELECT *, base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 12 * n_words AS failed FROM b),
 h AS (SELECT source, count(*) AS host_docs, sum(failed::BIGINT)::BIGINT AS host_failures FROM f GROUP BY source),
 p AS (
   SELECT least(greatest(coalesce(avg(host_failures::DOUBLE / host_docs), 0.5::DOUBLE), 0.001::DOUBLE), 0.999::DOUBLE) AS m,

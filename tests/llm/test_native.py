@@ -134,6 +134,31 @@ def test_mixing_sums(spark, block):
     assert copies == Counter({r["doc_id"]: int(r["taken"] / r["size"] + 0.5) for r in found if r["size"] and int(r["taken"] / r["size"] + 0.5)})
 
 
+def test_mixed_rows_stand_in_the_order_of_the_schedule(spark):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (30, 700, 1500, 90, 5, 2000, 64, 64, 333, 800)]
+    docs = docs_frame(spark, texts, ["a", "a", "b", "b", "c", "c", None, None, "a", "b"])
+    clash = ["slot", "copies", "row", "same", "n.1", "__id", "__copies", "times"]
+    docs = docs.withColumnsRenamed({"lang": "slot", "n_chars": "copies"})
+    for c in clash[2:]:
+        docs = docs.withColumn(c, F.lit(c))
+    taken = {r["doc_id"]: r for r in mixing.mix(docs, block=16).collect()}
+    out = mixing.apply(docs, block=16)
+    assert out.columns == docs.columns
+    rows = [r["doc_id"] for r in out.collect()]
+    assert Counter(rows) == Counter({d: int(r["taken"] / r["size"] + 0.5) for d, r in taken.items() if int(r["taken"] / r["size"] + 0.5)})
+    first = list(dict.fromkeys(rows))
+    assert first == sorted(first, key=lambda d: taken[d]["first_slot"]) and rows != sorted(rows)
+
+
+def test_equal_rows_share_their_copies(spark):
+    texts = ["a b c d"] * 5 + ["e f g h"] * 3 + [None, ""]
+    docs = spark.createDataFrame([(1 if i < 8 else None, t, "x" if i < 5 else None) for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing._mixed(docs, mixing.WEIGHTS, 150, 2, 512).collect():
+        want[r["doc_id"], r["source"]] += int(r["taken"] / r["size"] + 0.5) if r["size"] else 0
+    assert Counter((r["doc_id"], r["source"]) for r in mixing.apply(docs).collect()) == +want
+
+
 def test_targets_against_iteration(spark):
     """Excess shared anew by weight until no source is above its cap."""
     sizes = {"a": 10, "b": 1000, "c": 50, "d": 5, "e": 400, "f": 0, "g": 77}
