@@ -4,14 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-import numpy as np
+from cairn.lineage import cut
+from cairn.operators import kernel
+from cairn.operators.assign import matrix
 
-#: Most centroids (k times chunks) that the grouping step takes to the driver, checked before.
+#: Centroids that the grouping step holds on the driver at a time.
 MAX_CENTROIDS = 100_000
+#: Rows of the group map up to which it is broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def greedy_groups(centroids: Sequence[tuple[int, Sequence[float], float]]) -> dict[int, int]:
@@ -38,13 +44,49 @@ def greedy_groups(centroids: Sequence[tuple[int, Sequence[float], float]]) -> di
     return dict(zip(ids, group.tolist()))
 
 
-def group_map(centroids: DataFrame) -> DataFrame:
-    """greedy_groups of a frame (centroid_id, center, var): centroid_id, group_id."""
-    rows = centroids.select("centroid_id", "center", "var").limit(MAX_CENTROIDS + 1).collect()
-    if len(rows) > MAX_CENTROIDS:
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids; use larger chunks")
-    found = greedy_groups([(r["centroid_id"], r["center"], r["var"]) for r in rows])
-    return centroids.sparkSession.createDataFrame(sorted(found.items()), "centroid_id long, group_id int")
+def group_map(centroids: DataFrame, most: int = MAX_CENTROIDS) -> DataFrame:
+    """greedy_groups of a frame (centroid_id, center, var) of any size: centroid_id, group_id.
+
+    The driver holds `most` centroids at a time: the first ones without a group are grouped there; their leaders then
+    take members among all the rest, in tasks; and so on with the next ones that are still without a group. That is the
+    same as one pass in order, as a leader takes members regardless of later leaders.
+    """
+    spark, kind = centroids.sparkSession, "centroid_id long, group_id int"
+    rest, done, n = centroids.select(F.col("centroid_id").cast("long").alias("centroid_id"), "center", "var"), None, 0
+    while True:
+        rows = rest.orderBy("centroid_id").limit(most + 1).collect()
+        more, rows = len(rows) > most, [(r["centroid_id"], r["center"], r["var"]) for r in rows[:most]]
+        found = greedy_groups(rows)
+        here = spark.createDataFrame(sorted((i, g + n) for i, g in found.items()), kind)
+        done = here if done is None else done.union(here)
+        if not more:
+            return done
+        leaders: dict[int, tuple] = {}
+        for r in rows:
+            leaders.setdefault(found[r[0]], (list(r[1]), r[2]))
+        first = [leaders[g] for g in range(len(leaders))]
+        later = rest.where(F.col("centroid_id") > rows[-1][0])
+        later = cut(later.mapInArrow(_taken(np.array([c for c, _ in first], dtype=float), np.array([v for _, v in first], dtype=float), n), "centroid_id long, center array<double>, var double, group_id int"))
+        done = done.union(later.where("group_id is not null").select("centroid_id", "group_id"))
+        rest, n = later.where("group_id is null").drop("group_id"), n + len(first)
+
+
+def _taken(centers: np.ndarray, var: np.ndarray, n: int):
+    """Adds the group of the first leader that takes each centroid; leaders are the groups n, n + 1, ..."""
+
+    def run(batches):
+        for b in batches:
+            x, there = matrix(b.column(1))
+            group = np.full(b.num_rows, -1, dtype=np.int64)
+            step = max(1, 4_000_000 // max(1, len(centers)))  # distances to all leaders are held at once
+            for i in range(0, len(x), step):
+                with np.errstate(invalid="ignore"):
+                    near = kernel.sq_distances(x[i : i + step], centers) < var
+                hit = near.argmax(axis=1)
+                group[there[i : i + step]] = np.where(near[np.arange(len(near)), hit], hit + n, -1)
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in range(3)), pa.array(group.astype(np.int32), mask=group < 0)], names=[*b.schema.names, "group_id"])
+
+    return run
 
 
 def group_sizes(counts: DataFrame, groups: DataFrame) -> DataFrame:
@@ -57,7 +99,8 @@ def member_index(rows: DataFrame, groups: DataFrame, chunk: int = 1 << 20) -> Da
 
     Places are counted in ranges of rows first, so that a window holds one range of one group, never a whole group.
     """
-    placed = rows.join(F.broadcast(groups), "centroid_id").select("group_id", "row_id", F.floor(F.col("row_id") / chunk).alias("range"))
+    side = F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups
+    placed = rows.join(side, "centroid_id").select("group_id", "row_id", F.floor(F.col("row_id") / chunk).alias("range"))
     sums = placed.groupBy("group_id", "range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("group_id").orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
     place = F.row_number().over(W.partitionBy("group_id", "range").orderBy("row_id")) - 1

@@ -7,9 +7,6 @@ the last whole chunk take no part in chunks and groups.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.lineage import cut
 from cairn.operators import assign as A
 from cairn.operators import grouping, kernel, sampling
 from cairn.sources.points import chunked
@@ -29,16 +27,6 @@ _CHUNK_DDL = "chunk_id long, cluster_id int, center array<double>, n long, sse d
 _ROWS = 100_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows with their lineage cut by a checkpoint in spark.checkpoint.dir (a temporary folder where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = tempfile.mkdtemp(prefix="cairn-")
-        atexit.register(shutil.rmtree, folder, True)
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def _cluster(k: int, first: int | None, passes: int):
     """A row a cluster; the rows of its members follow in lists of bounded length."""
 

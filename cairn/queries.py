@@ -5,12 +5,11 @@ Doubles that come out of sums are rounded on both sides, as the order of a sum i
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import random, text, vectors
+from cairn.lineage import new_dir
 from cairn.operators import assign as A
 from cairn.operators import centers as C
 from cairn.operators import grouping, inits, kernel, lloyd, sampling
@@ -89,17 +88,10 @@ def text_column_count(spark, sf_dir):
     return P.column_count(lines)
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-")
-    import uuid
-
-    return f"{base.rstrip('/')}/points-{uuid.uuid4().hex}"
-
-
 @_query(f"WITH {CU} SELECT * FROM cu")
 def points_text_round_trip(spark, sf_dir):
     """Points written as tab-separated text, in order, and read again with row ids from the lines' places."""
-    path = _folder(spark)
+    path = new_dir(spark, "points")
     P.write_text(P.named(spark, sf_dir, "customer2d"), path, "row_id")
     return _flat(P.from_text(spark, path), "features", digits=None)
 

@@ -128,12 +128,6 @@ def test_leaders_are_not_transitive():
     assert grouping.greedy_groups([(0, [0.0], 1.5), (1, [1.0], 9.0), (2, [2.0], 9.0)]) == {0: 0, 1: 0, 2: 1}
 
 
-def test_group_cap(spark, monkeypatch):
-    monkeypatch.setattr(grouping, "MAX_CENTROIDS", 1)
-    with pytest.raises(ValueError):
-        grouping.group_map(spark.createDataFrame([(0, [0.0], 1.0), (1, [1.0], 1.0)], "centroid_id long, center array<double>, var double"))
-
-
 def test_move_keeps_means(spark):
     points = frame(spark, TOY)
     near = A.assign(points, [(0, 0), (10, 10)])
@@ -177,3 +171,33 @@ def test_empty_points(spark):
     assert [r["n"] for r in A.member_counts(A.assign(none, [(0, 0)]), 2).collect()] == [0, 0]
     assert P.marks(none, 5).count() == 0
     assert A.summary(A.assign(none, [(0, 0)]), 1).count() == 2
+
+
+def test_groups_in_blocks_are_groups_in_one_pass(spark):
+    random.seed(9)
+    rows = [(i, [random.gauss(0, 3), random.gauss(0, 3)] if i % 17 else [float("nan")] * 2, random.choice((0.0, 0.2, 1.0, 6.0))) for i in range(400)]
+    frame_ = spark.createDataFrame(rows, "centroid_id long, center array<double>, var double").repartition(5)
+    want = grouping.greedy_groups(rows)
+    for most in (1000, 400, 399, 60, 7):
+        assert {r["centroid_id"]: r["group_id"] for r in grouping.group_map(frame_, most).collect()} == want
+
+
+def test_farthest_with_many_coordinates(spark, monkeypatch):
+    random.seed(10)
+    rows = [[random.choice((0, 1, 2, 3)) for _ in range(3)] for _ in range(300)] + [[float("nan")] * 3, [3, 3, 3], [3, 3, 3]]
+    points = frame(spark, rows, 4).union(spark.createDataFrame([(500, None)], "row_id long, features array<double>"))
+    few = lloyd.farthest_first(points, 6)
+    monkeypatch.setattr(A, "WRITTEN_OUT", 0)
+    assert lloyd.farthest_first(points, 6) == few
+    assert lloyd.farthest(points.where("row_id = 302"), [rows[0]])[0] == 302
+    assert lloyd.farthest(points.where("row_id = 300"), [rows[0]]) is None
+    with pytest.raises(kernel.TooFewPoints):
+        lloyd.farthest_first(points.where("row_id > 300"), 3, first=301)
+
+
+def test_main(spark, tmp_path):
+    lines = ["\t".join(f"{v:.16f}" for v in r) for r in TOY]
+    (tmp_path / "points.txt").write_text("\n".join(lines) + "\n")
+    assert chunked.main([str(tmp_path / "points.txt"), "2", "12", "6", "2", str(tmp_path / "out")]) == 0
+    found = sorted([float(v) for v in r["value"].split("\t") if v] for r in spark.read.text(str(tmp_path / "out")).collect())
+    assert np.allclose(found, [(0, 1), (32 / 3, 11)])
