@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.operators import kernel
-from cairn.operators.assign import Centers, matrix, to_centers, written_out
+from cairn.operators.assign import Centers, matrix
 from cairn.operators.kernel import MAX_PASSES, TooFewPoints
 
 #: A total may exceed the one before by this share before it counts as worse: partial sums come in any order.
@@ -29,17 +29,11 @@ def row(points: DataFrame, row_id: int) -> list[float]:
 def farthest(points: DataFrame, chosen: Centers) -> tuple[int, list[float], float] | None:
     """Row, features and squared distance of the point farthest from its nearest chosen center; the lowest row on ties.
 
-    Few centers are written out in generated code; beyond, distances are computed on Arrow batches and a task returns
-    one row.
+    Distances are computed on Arrow batches, and a task returns one row.
     """
-    if not written_out(chosen):
-        parts = points.select("row_id", "features").mapInArrow(_farthest(chosen), "d2 double, row_id long, features array<double>")
-        best = parts.agg(F.max(F.struct("d2", (-F.col("row_id")).alias("order"), "features")).alias("r")).first()["r"]
-        return None if best is None else (-best["order"], list(best["features"]), best["d2"])
-    near = F.array_min(to_centers(F.col("features"), chosen))
-    ranked = points.select(F.struct(F.when(~F.isnan(near), near).alias("d2"), (-F.col("row_id")).alias("order"), "features").alias("r"))
-    best = ranked.agg(F.max("r").alias("r")).first()["r"]
-    return None if best is None or best["d2"] is None else (-best["order"], list(best["features"]), best["d2"])
+    parts = points.select("row_id", "features").mapInArrow(_farthest(chosen), "d2 double, row_id long, features array<double>")
+    best = parts.agg(F.max(F.struct("d2", (-F.col("row_id")).alias("order"), "features")).alias("r")).first()["r"]
+    return None if best is None else (-best["order"], list(best["features"]), best["d2"])
 
 
 def _farthest(chosen: Centers):
