@@ -1,6 +1,7 @@
 """Quality rules, license scans, chat formatting and mixing: odd rows, brute force, SQL."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -74,9 +75,9 @@ def test_empty_tables(spark):
 
 
 def test_license_matches(spark):
-    mit = license.TEMPLATES["mit"]
-    long = license.TEMPLATES["gpl-redistribution"]
-    texts = [None, "", "mit", f"x y {mit}. z", f"{mit.upper()},\n\n{license.TEMPLATES['cc-by-nc-4.0']}", long, long.replace("terms", "words"), " ".join(long.split()[:12]), "q " * 40_000 + mit, f"{mit} {mit}"]
+    mit = license.NOTICES["mit"]
+    long = license.NOTICES["gpl-redistribution"]
+    texts = [None, "", "mit", f"x y {mit}. z", f"{mit.upper()},\n\n{license.NOTICES['cc-by-nc-4.0']}", long, long.replace("terms", "words"), " ".join(long.split()[:12]), "q " * 40_000 + mit, f"{mit} {mit}"]
     found = {(r["doc_id"], r["license"], r["found_shingles"]) for r in license.license_matches(docs_frame(spark, texts)).collect()}
     n = len(long.split()) - 4
     assert found == {(3, "mit", 1), (4, "mit", 1), (4, "cc-by-nc-4.0", 1), (5, "gpl-redistribution", n), (8, "mit", 1), (9, "mit", 1)}
@@ -84,6 +85,24 @@ def test_license_matches(spark):
     assert {r["doc_id"] for r in near.collect()} == {5, 6}
 
 
+def test_edited_license_texts(spark, monkeypatch):
+    """Whole texts with random words changed: the matches are those of brute force, in one part of templates or several."""
+    rng, gap = random.Random(1), re.compile(license._GAP)
+    cut = lambda t: [w for w in gap.split(t.lower().strip(license._EDGE + license.SPACE_CHARS)) if w]
+    shingles = lambda t: {" ".join(w[i : i + 5]) for w in [cut(t)] for i in range(len(w) - 4)}
+    templates = license.default_templates()
+    known = {name: shingles(t) for name, t in templates.items()}
+    edited = lambda t, share: " ".join(f"new{rng.randrange(9)}" if rng.random() < share else w for w in t.split())
+    texts = [f"{'lead words ' * (i % 3)}{edited(t, share)} tail" for i, share in enumerate((0.08, 0.05, 0.04, 0.02, 0)) for _, t in sorted(templates.items())]
+    want = {(i, name, len(s), len(shingles(t) & s)) for i, t in enumerate(texts) for name, s in known.items() if 100 * len(shingles(t) & s) >= 80 * len(s)}
+    assert {name for _, name, _, _ in want} == set(templates)
+    docs = docs_frame(spark, texts)
+    assert set(map(tuple, license.license_matches(docs).collect())) == want
+    monkeypatch.setattr(license, "PART_SHINGLES", 900)
+    assert len(list(license._parts(templates))) > 2
+    assert set(map(tuple, license.license_matches(docs).collect())) == want
+
+
 def turns_frame(spark, rows):
     return spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, example long")
 
