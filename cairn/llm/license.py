@@ -1,13 +1,15 @@
 """License scans: MinHash bands over overlapping text windows find templates, exact shingle containment confirms them.
 
-DataFrame functions only. Words are lower-cased and lose punctuation at their ends. Shingles have five words. A window
-holds WINDOW shingles; a text's windows start at every STRIDE-th shingle, so that neighbours share one, and a template's
-at every shingle. A window gets MinHash values, each a band of one row; a text window that shares a band with a
-template's window retrieves that template. Windows of similarity s share one of b bands with probability
-1 - (1 - s) ** b. A template of one shingle has s = 1 / WINDOW with a window that holds it: 0.9997 for BANDS. A template
-of LONG shingles or more is indexed under LONG_BANDS only: a text window that lies in it meets its equal for certain,
-and four shingles of it in a row hold such a window. A retrieved template matches if the text holds at least
-MIN_CONTAINED percent of the template's distinct shingles.
+DataFrame functions only. Words are lower-cased and lose punctuation at their ends. Shingles have five words. A text's
+windows hold WINDOW shingles and start at every STRIDE-th, so that neighbours share one and any two shingles in a row lie
+in one window; a template's hold two and start at every shingle. A window gets a MinHash value for each of BANDS orders
+of the hashes, and each is a band of one row; a text window that shares a band with a template's window retrieves that
+template. Which of three hashes comes first under an exclusive or with a seed hangs on two bits of the seed at most; the
+seeds have all four values at every two places, so that every shingle of a window is its least for some seed. So windows
+share a band for certain if one holds all of the other, which independent orders reach with 0.9997 by 20 bands in the
+case of one shingle of three: one-shingle templates, and any two shingles of a template in a row, are found for certain.
+A template of LONG shingles or more is indexed under LONG_BANDS orders only, and found for certain by any four in a row.
+A retrieved template matches if the text holds at least MIN_CONTAINED percent of the template's distinct shingles.
 
 The templates' bands are one row of buckets that every task holds, bounded by PART_SHINGLES; more templates are scanned
 for in several parts. Retrieval and confirmation are a projection of a text's row; no text is shuffled.
@@ -16,7 +18,6 @@ for in several parts. Retrieval and confirmation are a projection of a text's ro
 from __future__ import annotations
 
 import functools
-import hashlib
 import itertools
 from pathlib import Path
 
@@ -39,7 +40,7 @@ NOTICES = {
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
 }
 SHINGLE = 5
-WINDOW, STRIDE, BANDS = 3, 2, 20
+WINDOW, STRIDE, BANDS = 3, 2, 10
 LONG, LONG_BANDS = 16, 4
 MIN_CONTAINED = 80
 #: Shingles of the templates that one scan looks for: about 8 MB of bands.
@@ -48,8 +49,11 @@ _BUCKETS = 1 << 16
 _TEXTS = Path(__file__).parent / "licenses"
 _EDGE = ".,;:!?\"'()[]"
 _GAP = r"""[.,;:!?"'()\[\]]*[\x20\x09-\x0D]+[.,;:!?"'()\[\]\x20\x09-\x0D]*"""
-#: Each orders the shingles' hashes anew by exclusive or; all 64 bits vary, the sign's too.
-_SEEDS = [int.from_bytes(hashlib.sha256(bytes([k])).digest()[:8], "big", signed=True) for k in range(BANDS)]
+#: A row of BANDS bits for each of 64 places: the first 0, and 5 of the others 1, no two alike. In any two rows all of
+#: 00, 01, 10 and 11 stand one above the other somewhere.
+_PLACES = list(itertools.combinations(range(1, BANDS), BANDS // 2))[31:95]
+#: Each orders the shingles' hashes anew by exclusive or.
+_SEEDS = [s - (1 << 64) if s >> 63 else s for s in (sum(1 << p for p, on in enumerate(_PLACES) if k in on) for k in range(BANDS))]
 
 
 def _words(text: Column) -> Column:
@@ -63,17 +67,17 @@ def _shingles(w: Column, of) -> Column:
     return F.when(F.size(w) >= SHINGLE, F.transform(starts, lambda i: of(*(F.get(w, i + k) for k in range(SHINGLE))))).otherwise(F.array())
 
 
-def _bands(hashes: Column, stride: int, seeds: int) -> Column:
-    """The bands of all windows: for each seed the least hash of WINDOW neighbours, marked with the seed."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - (WINDOW - stride), F.lit(1)) - 1, F.lit(stride))
+def _bands(hashes: Column, width: int, stride: int, seeds: int) -> Column:
+    """The bands of all windows: for each seed the least hash of `width` neighbours, marked with the seed."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - (width - stride), F.lit(1)) - 1, F.lit(stride))
 
     def row(seed: int) -> Column:
-        return F.transform(starts, lambda i: F.least(*(F.get(hashes, i + k).bitwiseXOR(F.lit(seed)) for k in range(WINDOW))))
+        return F.transform(starts, lambda i: F.least(*(F.get(hashes, i + k).bitwiseXOR(F.lit(seed)) for k in range(width))))
 
     return F.when(F.size(hashes) > 0, F.concat(*(row(seed) for seed in _SEEDS[:seeds]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _text_bands(text: Column, stride: int, of) -> Column:
+def _text_bands(text: Column, of) -> Column:
     """of(a band's hashes) over a text: the bands of its windows."""
     return let(_words(text), lambda w: let(_shingles(w, F.xxhash64).cast("array<bigint>"), of))
 
@@ -103,8 +107,8 @@ def _index(spark: SparkSession, part: list[tuple[str, str]]) -> tuple[DataFrame,
     """Two frames of one row: buckets, each with the (band, t) whose bands fall in it, and the templates (name, shingles) by t."""
     known = spark.createDataFrame([(t, *item) for t, item in enumerate(part)], "t int, name string, text string")
     known = known.select("t", "name", F.array_distinct(_word_shingles(F.col("text"))).alias("shingles"), F.col("text"))
-    seeds = lambda h: F.when(F.size(h) < LONG, _bands(h, 1, BANDS)).otherwise(_bands(h, 1, LONG_BANDS))
-    bands = known.select("t", F.explode(F.array_distinct(_text_bands(F.col("text"), 1, seeds))).alias("band"))
+    seeds = lambda h: F.when(F.size(h) < LONG, _bands(h, WINDOW - STRIDE + 1, 1, BANDS)).otherwise(_bands(h, WINDOW - STRIDE + 1, 1, LONG_BANDS))
+    bands = known.select("t", F.explode(F.array_distinct(_text_bands(F.col("text"), seeds))).alias("band"))
     filled = bands.groupBy(_bucket(F.col("band")).alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("band", "t"))).alias("held"))
     all_buckets = spark.range(_BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(filled, "bucket", "left")
     none = F.array().cast("array<struct<band: bigint, t: int>>")
@@ -121,8 +125,8 @@ def _retrieved(text: Column, buckets: Column) -> Column:
 
     def look(table: Column) -> Column:
         at = lambda b: F.get(table, _bucket(b))
-        hits = lambda h: F.filter(_bands(h, STRIDE, BANDS), lambda b: F.exists(at(b), lambda e: e["band"] == b))
-        found = _text_bands(text, STRIDE, hits)
+        hits = lambda h: F.filter(_bands(h, WINDOW, STRIDE, BANDS), lambda b: F.exists(at(b), lambda e: e["band"] == b))
+        found = _text_bands(text, hits)
         return F.array_distinct(F.flatten(F.transform(found, lambda b: F.transform(F.filter(at(b), lambda e: e["band"] == b), lambda e: e["t"]))))
 
     return let(buckets, look)

@@ -85,6 +85,14 @@ def test_license_matches(spark):
     assert {r["doc_id"] for r in near.collect()} == {5, 6}
 
 
+def test_every_shingle_of_a_window_is_least_for_some_seed():
+    rng = random.Random(2)
+    for _ in range(2_000):
+        near = rng.getrandbits(64) - (1 << 63)
+        hashes = [near ^ rng.getrandbits(rng.choice((1, 8, 63))) for _ in range(license.WINDOW)]
+        assert {min(hashes, key=lambda h: h ^ seed) for seed in license._SEEDS} == set(hashes)
+
+
 def test_edited_license_texts(spark, monkeypatch):
     """Whole texts with random words changed: the matches are those of brute force, in one part of templates or several."""
     rng, gap = random.Random(1), re.compile(license._GAP)
