@@ -6,7 +6,7 @@ for another.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed values of the generator.
@@ -38,6 +38,18 @@ def uniform(seed: int, n: Column) -> Column:
     return state(seed, n) * F.lit(SCALE)
 
 
+def uniform_vector(seed: int, before: Column, n: int) -> Column:
+    """Array of the n draws in (0, 1) that follow the first `before` ones."""
+    powers = F.array(*(F.lit(pow(MULTIPLIER, i, MODULUS)).cast("long") for i in range(1, n + 1)))
+    return F.element_at(F.transform(F.array(state(seed, before)), lambda s: F.transform(powers, lambda p: s * p % F.lit(MODULUS) * F.lit(SCALE))), 1)
+
+
+def uniform_matrix(spark: SparkSession, seed: int, m: int, n: int) -> DataFrame:
+    """An m by n matrix of draws, filled column by column: i, j, v."""
+    k = F.col("id")
+    return spark.range(m * n).select((k % m).cast("int").alias("i"), F.floor(k / m).cast("int").alias("j"), uniform(seed, k + 1).alias("v"))
+
+
 def uniform_int(seed: int, n: Column, a: int, b: int) -> Column:
     """The n-th draw (from 1) of an integer from a to b, scaled in single precision."""
     low, high = min(a, b), max(a, b)

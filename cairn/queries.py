@@ -82,10 +82,26 @@ def text_row_count(spark, sf_dir):
     return P.row_count(lines)
 
 
-@_query("SELECT len(list_filter(regexp_split_to_array(string_split(text, chr(10))[1], '[ \\n]'), lambda w: w <> ''))::INTEGER AS n_columns FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE NOT starts_with(text, '#') AND trim(string_split(text, chr(10))[1]) <> '')")
+#: All lines of all documents by document and place, and the words of the first that counts.
+LINES = """li AS (SELECT doc_id, i, v, starts_with(v, '#') AS comment, trim(v, chr(32) || chr(9) || chr(13) || chr(10)) <> '' AND NOT starts_with(v, '#') AS kept
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+co AS (SELECT coalesce(first(len(list_filter(regexp_split_to_array(v, '[ \\n]'), lambda w: w <> ''))::INTEGER ORDER BY comment, doc_id, i), -1) AS n_columns FROM li WHERE kept OR comment)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every document, by document and place."""
+    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "value"))
+    return lines.select(F.struct("doc_id", "i").alias("row_id"), "value")
+
+
+@_query(f"WITH {LINES} SELECT n_columns FROM co")
 def text_column_count(spark, sf_dir):
-    lines = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("row_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("value"))
-    return P.column_count(lines)
+    return P.column_count(_lines(spark, sf_dir))
+
+
+@_query(f"WITH {LINES} SELECT n_columns, (SELECT count(*) FROM li WHERE kept) AS n_rows FROM co")
+def text_header(spark, sf_dir):
+    return P.header(_lines(spark, sf_dir))
 
 
 @_query(f"WITH {CU} SELECT * FROM cu")
@@ -96,10 +112,22 @@ def points_text_round_trip(spark, sf_dir):
     return _flat(P.from_text(spark, path), "features", digits=None)
 
 
+@_query(f"WITH {CU} SELECT * FROM cu")
+def points_text_skipping(spark, sf_dir):
+    """Points written as text with a comment and a blank line before each, and read again without these."""
+    path = new_dir(spark, "points")
+    points = P.named(spark, sf_dir, "customer2d").orderBy("row_id")
+    lines = F.array(F.concat(F.lit("# row "), F.col("row_id").cast("string")), F.lit(" "), F.concat_ws("\t", F.transform("features", lambda v: v.cast("string"))))
+    points.select(F.explode(lines).alias("value")).write.text(path)
+    return _flat(P.from_text(spark, path, skip=True), "features", digits=None)
+
+
 @_query(BASE + " SELECT row_id, chr(32) || chr(32) || cluster_id::VARCHAR AS value FROM ne")
 def clusters_as_text(spark, sf_dir):
-    near = _near(spark, sf_dir)
-    return near.select("row_id", F.concat(F.lit("  "), F.col("cluster_id").cast("string")).alias("value"))
+    """Cluster numbers written as lines in the order of the points, and the lines read again."""
+    path = new_dir(spark, "clusters")
+    P.ints_as_text(_near(spark, sf_dir).orderBy("row_id"), "cluster_id").write.text(path)
+    return P.numbered_lines(spark, path)
 
 
 # projections and predicates
@@ -516,6 +544,18 @@ def congruential_draws(spark, sf_dir):
     return _events(spark, sf_dir).select("row_id", random.state(SEED, n).alias("state"), random.uniform(SEED, n).alias("r"), random.uniform_int(SEED, n, -3, 9).alias("i"))
 
 
+@_query(f"SELECT event_id AS row_id, {_U.format(s=random.state_sql(SEED, 'event_id * 3 + 1'))} AS x0, {_U.format(s=random.state_sql(SEED, 'event_id * 3 + 2'))} AS x1, {_U.format(s=random.state_sql(SEED, 'event_id * 3 + 3'))} AS x2 FROM events")
+def generator_vectors(spark, sf_dir):
+    """Three draws for each event, one event's after the other's."""
+    points = _events(spark, sf_dir).select("row_id", random.uniform_vector(SEED, F.col("row_id") * 3, 3).alias("center"))
+    return _flat(points, dim=3, digits=None)
+
+
+@_query(f"SELECT (k % 50)::INTEGER AS i, (k // 50)::INTEGER AS j, {_U.format(s=random.state_sql(SEED, 'k + 1'))} AS v FROM range(1000) t(k)")
+def generator_matrix(spark, sf_dir):
+    return random.uniform_matrix(spark, SEED, 50, 20)
+
+
 @_query(f"WITH {CU}, m AS (SELECT row_id AS j, 0 AS i, x0 AS v FROM cu UNION ALL SELECT row_id, 1, x1 FROM cu) SELECT a.i::INTEGER AS i, b.i::INTEGER AS j, round(sum(a.v * b.v), 2) AS v FROM m a JOIN m b USING (j) GROUP BY a.i, b.i")
 def matrix_product(spark, sf_dir):
     """The product of the customers' matrix, transposed, with itself."""
@@ -544,6 +584,13 @@ def parse_reals(spark, sf_dir):
     )
 
 
+@_query("SELECT c_custkey, c_acctbal AS x0, c_nationkey::DOUBLE AS x1 FROM customer")
+def parse_vectors(spark, sf_dir):
+    """Two numbers of a line of three."""
+    line = F.concat(F.lit(" "), F.col("c_acctbal").cast("string"), F.lit(",  "), F.col("c_nationkey").cast("string"), F.lit(" 7"))
+    return _flat(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", text.reals(line, 2).alias("center")), digits=None)
+
+
 # logs and sweeps
 
 
@@ -585,6 +632,24 @@ def phase_durations(spark, sf_dir):
     return logs.durations(_log(spark, sf_dir), "run").select("AbsoluteTime", "run", "Loop", "duration_ms")
 
 
+@_query("SELECT (epoch_us(ts) // 1000)::BIGINT AS \"AbsoluteTime\", 1 AS \"Phase\", 4 AS \"Step\", event_id::INTEGER AS \"Loop\", user_id::INTEGER AS \"Iteration\", 2900000::BIGINT AS \"Frequency\", value AS \"CPU_Usage\", NULL::DOUBLE AS \"SWAP\" FROM events")
+def log_file(spark, sf_dir):
+    """The events appended to a log file, and the file read again."""
+    path = new_dir(spark, "log")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = e.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("AbsoluteTime"), F.lit(1).alias("Phase"), F.lit(4).alias("Step"), F.col("event_id").cast("int").alias("Loop"), F.col("user_id").cast("int").alias("Iteration"), F.lit(logs.FREQUENCY).alias("Frequency"), F.col("value").alias("CPU_Usage"))
+    logs.append(rows, path)
+    return logs.read(spark, path).select(*rows.columns, "SWAP")
+
+
+@_query("SELECT (epoch_us(ts) // 1000)::BIGINT AS ts_ms, value AS util_avg, user_id::DOUBLE AS load_avg FROM events")
+def scheduler_file(spark, sf_dir):
+    """The events written as scheduler samples, and the file read again."""
+    path = new_dir(spark, "scheduler")
+    spark.read.parquet(f"{sf_dir}/events.parquet").select(F.unix_millis(F.col("ts").cast("timestamp")), "value", F.col("user_id").cast("double")).write.csv(path)
+    return logs.read_scheduler(spark, path)
+
+
 @_query("SELECT (epoch_us(ts) // 1000)::BIGINT AS \"AbsoluteTime\", CASE WHEN value < 50 THEN 1 END::INTEGER AS \"Phase\", CASE WHEN value >= 50 THEN value END AS \"CPU_Usage\" FROM events")
 def stacked_logs(spark, sf_dir):
     """Two logs with different columns as one, by time."""
