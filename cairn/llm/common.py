@@ -70,6 +70,14 @@ def wrapped(df: DataFrame) -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with line marks before it, such that df has no column of this name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def tidy(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that columns beyond them cannot clash."""
     return df.select(*(F.col(f"`{n}`") for n in names))

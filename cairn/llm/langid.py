@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import worker
-from cairn.llm.common import bounded_batches, tidy
+from cairn.llm.common import bounded_batches, free_name, tidy
 from cairn.llm.shingles import U, mix
 
 DIM = 1024
@@ -163,5 +163,6 @@ def keep(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     prototypes = fit(docs)
     if not prototypes:
         return docs
-    found = predict(docs, prototypes, "__lang", "__score").where((F.col("__lang") != "und") & (F.col("__score") >= min_score))
-    return found.withColumn("lang", F.coalesce("lang", "__lang")).select(*docs.columns)
+    pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    found = predict(docs, prototypes, pred, score).where((F.col(pred) != "und") & (F.col(score) >= min_score))
+    return tidy(found.withColumn("lang", F.coalesce("lang", pred)), *docs.columns)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import worker
-from cairn.llm.common import BROADCAST_ROWS, bounded_batches, components, cut, join_sized, tidy
+from cairn.llm.common import BROADCAST_ROWS, bounded_batches, components, cut, free_name, join_sized, tidy
 from cairn.llm.shingles import U, mix, shingle_set
 
 CHUNKS, WIDTH, ERRORS, BITS = 8, 6, 1, 16
@@ -213,13 +213,14 @@ def keep(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
 
     Of rows that share a doc_id one stays, unless doc_id is null.
     """
-    dropped = near_duplicates(docs, percent, size).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
-    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id")
-    out = docs.join(_side(dropped), F.col("doc_id") == F.col("__id"), "left_anti")
+    key = free_name(docs, "__id")
+    dropped = near_duplicates(docs, percent, size).where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    repeated = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("n")).where("n > 1").select(key)
+    out = docs.join(_side(dropped), F.col("doc_id") == F.col(key), "left_anti")
     repeated = cut(repeated)
     if repeated.isEmpty():
         return out
-    same = F.col("doc_id") == F.col("__id")
+    same = F.col("doc_id") == F.col(key)
     one = out.join(_side(repeated), same, "left_semi").dropDuplicates(["doc_id"])
     return out.join(_side(repeated), same, "left_anti").unionByName(one)
 

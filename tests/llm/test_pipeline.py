@@ -5,9 +5,10 @@ from collections import Counter
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cairn.llm import bpe, langid, mixing, quality
+from cairn.llm import bpe, langid, minhash, mixing, quality
 from tests.llm.test_pairs import shingles, smallest
 
 SF = "/root/testdata/sf0.001"
@@ -41,3 +42,17 @@ def test_run_and_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     n = corpus_pipeline.run(spark, SF).count()
     assert n == corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_keeping_stages_with_clashing_columns(spark):
+    """Extra columns named as the stages' own, or with a dot, come out as they went in."""
+    text = lambda n: " ".join(f"the word{n}of{i} and more{i}" for i in range(40))
+    rows = [(i, text(max(i, 1)), "en", f"s{i % 2}", 9) for i in range(6)] + [(2, text(2), None, None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = ("__id", "__lang", "__score", "LANG_PRED", "lang_score", "__copies", "__key", "row", "a.b")
+    wide = docs.select("*", *(F.lit(k).alias(name) for k, name in enumerate(extra)))
+    for stage in (quality.keep, langid.keep, minhash.keep, mixing.apply):
+        out = stage(wide)
+        assert out.columns == wide.columns
+        assert {tuple(r[5:]) for r in out.collect()} == {tuple(range(len(extra)))}
+        assert out.count() == stage(docs).count()
