@@ -51,9 +51,10 @@ def partial_means(points: DataFrame, size: int, dim: int) -> DataFrame:
 
 def farthest_mean(means: DataFrame, chosen: Sequence[int]) -> DataFrame:
     """The chunk not chosen whose mean has the largest summed distance to the chosen ones: chunk_id, total; 0 if there is none."""
-    picked = means.where(F.col("chunk_id").isin(list(chosen))).select(F.col("mean").alias("to"))
-    rest = means.where(~F.col("chunk_id").isin(list(chosen))).join(F.broadcast(picked))
-    sums = rest.groupBy("chunk_id").agg(F.sum(sq_distance(F.col("mean"), F.col("to"))).alias("total"))
+    taken = F.col("chunk_id").isin(list(chosen))
+    picked = [r["mean"] for r in means.where(taken).select("mean").orderBy("chunk_id").collect()]
+    far = (sq_distance(F.col("mean"), m) for m in picked)
+    sums = means.where(~taken & F.lit(bool(picked))).select("chunk_id", sum(far, F.lit(0.0)).alias("total"))
     best = sums.agg(F.max(F.struct("total", (-F.col("chunk_id")).alias("order"))).alias("b"))
     return best.select(F.coalesce(-F.col("b.order"), F.lit(0)).cast("long").alias("chunk_id"), F.col("b.total").alias("total"))
 
