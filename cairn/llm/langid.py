@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import worker
-from cairn.llm.common import bounded_batches, free_name, tidy
+from cairn.llm.common import bounded_batches, tidy
 from cairn.llm.shingles import U, mix
 
 DIM = 1024
@@ -163,6 +163,7 @@ def keep(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     prototypes = fit(docs)
     if not prototypes:
         return docs
-    pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
-    found = predict(docs, prototypes, pred, score).where((F.col(pred) != "und") & (F.col(score) >= min_score))
-    return tidy(found.withColumn("lang", F.coalesce("lang", pred)), *docs.columns)
+    # Arrow maps can't name columns with dots, so columns that aren't read have plain names on the way
+    names = [c if c in ("doc_id", "text", "lang") else f"extra_{i}" for i, c in enumerate(docs.columns)]
+    found = predict(docs.toDF(*names), prototypes).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names).toDF(*docs.columns)
